@@ -101,7 +101,7 @@ def reference_hits(lines: DataFrame, docs: DataFrame, hot_docs: int = HOT_REFERE
     counted only in its class.
     """
     key = ["flow", "currency", "ref"]
-    refs = docs.filter(F.size("refs") > 0).select("flow", "pool", "currency", F.explode("refs").alias("ref"), "doc")
+    refs = docs.select("flow", "pool", "currency", F.explode_outer("refs").alias("ref"), "doc").filter("ref is not null")
     hot_keys = refs.groupBy(*key).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > hot_docs).select(*key)
     hot_by_doc = (
         refs.join(hot_keys, key, "left_semi").groupBy("flow", "pool", "currency", "doc").agg(F.sort_array(F.collect_set("ref")).alias("hot_refs"))
@@ -126,8 +126,8 @@ def reference_hits(lines: DataFrame, docs: DataFrame, hot_docs: int = HOT_REFERE
     entries = cold.unionByName(by_id).unionByName(classes)
 
     probe = (
-        lines.filter(F.size("tokens") > 0)
-        .select("transaction_id", "flow", "currency", "abs_amount", "tokens", F.explode("tokens").alias("ref"))
+        lines.select("transaction_id", "flow", "currency", "abs_amount", "tokens", F.explode_outer("tokens").alias("ref"))
+        .filter("ref is not null")
         .withColumn("at", F.explode(F.array(F.lit(ANY_AMOUNT).cast("bigint"), F.col("abs_amount"))))
     )
     meets = F.when(

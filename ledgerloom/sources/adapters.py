@@ -195,6 +195,56 @@ FROM {{order_facts}} o JOIN {{bank_accounts}} a ON a.id = 'ACC-' || {_s('o.natio
 """
 
 
+# Supplier master: one supplier per customer row, two sites each.
+DOMAIN["suppliers"] = f"""
+SELECT {_s('c_custkey')} AS id, CASE WHEN c_custkey % 23 = 0 THEN '' ELSE 'SN' || {_s('c_custkey')} END AS supplier_number,
+  CASE WHEN c_custkey % 31 = 0 THEN ' ' ELSE {_place('c_custkey')} || ' ' || {_trade('c_custkey')} || ' Ltd' END AS name,
+  CASE c_custkey % 5 WHEN 0 THEN 'Corporation' WHEN 1 THEN 'CORPORATION' WHEN 2 THEN 'Sole trader' WHEN 3 THEN '' ELSE 'GOVERNMENT' END AS type,
+  'active' AS status, CASE c_custkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'BE' || {_pad('c_custkey', 8)} || lpad({_s('97 - c_custkey % 97')}, 2, '0') WHEN 2 THEN 'NL' || {_pad('c_custkey', 9)} || 'B01'
+    WHEN 3 THEN 'PT ' || {_pad('c_custkey * 7', 9)} WHEN 4 THEN {_pad('c_custkey', 9)} WHEN 5 THEN 'IT' || {_pad('c_custkey * 13', 11)} WHEN 6 THEN 'GB' || {_pad('c_custkey * 31', 9)} ELSE 'uk-' || {_pad('c_custkey', 9)} END AS supplier_vat,
+  '' AS tax_registration_number, CASE WHEN c_custkey % 16 = 0 THEN 'DE' || {_pad('c_custkey', 9)} ELSE '' END AS taxpayer_id, c_custkey % 10 = 0 AS one_time,
+  CASE WHEN c_custkey % 14 = 0 THEN '2024-01-31' END AS inactive_date, 'oci-supplier' AS source, CAST(1 AS BIGINT) AS version, '2024-01-01T00:00:00Z' AS updated_at
+FROM {{customer}}
+"""
+DOMAIN["supplier_sites"] = f"""
+SELECT {_s('c_custkey')} || '-' || {_s('n')} AS id, {_s('c_custkey')} AS supplier_id, CASE WHEN c_custkey % 12 = 0 THEN ' MAIN ' ELSE 'SITE' || {_s('n')} END AS site_code, 'HQ' AS address_name, 'BU ' || c_mktsegment AS procurement_bu,
+  CASE WHEN c_custkey % 3 = 0 THEN 'OU: UK' END AS operating_unit, CASE WHEN c_custkey % 3 = 0 THEN '112' END AS org_id, CASE WHEN c_custkey % 19 = 0 THEN '2024-02-01' END AS inactive_date,
+  CASE (c_custkey + n) % 9 WHEN 0 THEN '30 days' WHEN 1 THEN '30 Days' WHEN 2 THEN 'NET 30' WHEN 3 THEN '' WHEN 4 THEN 'Due on Receipt' WHEN 5 THEN '45 Days' WHEN 6 THEN 'Terms ' || {_s('c_custkey % 700')} ELSE '14 Days' END AS payment_terms,
+  CASE (c_custkey + n) % 6 WHEN 0 THEN 'eur eft' WHEN 1 THEN 'EUR EFT' WHEN 2 THEN 'Domestic' WHEN 3 THEN ' ' WHEN 4 THEN 'GB bacs' ELSE 'Group ' || {_s('c_custkey % 900')} END AS pay_group,
+  CASE c_custkey % 5 WHEN 0 THEN 'Cheque' WHEN 1 THEN 'BACS' WHEN 2 THEN '' WHEN 3 THEN 'e.f.t' ELSE 'CARD' END AS payment_method, 'EUR' AS invoice_currency, 'EUR' AS payment_currency,
+  CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'BE' WHEN 2 THEN 'NL' WHEN 3 THEN 'PT' WHEN 4 THEN 'DE' WHEN 5 THEN 'IT' ELSE 'GB' END AS country,
+  CASE WHEN c_custkey % 9 = 0 THEN '' ELSE {_s('n')} || ' High Street' END AS address_line1, CASE c_custkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'Brussels 1000' WHEN 2 THEN 'London SW1A 1AA' ELSE {_place('c_custkey')} END AS city,
+  CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN '1000' WHEN 2 THEN 'NL 1234 AB' WHEN 3 THEN '12345' WHEN 4 THEN 'SW1A 1AA' ELSE '1234-567' END AS postal_code,
+  CASE (c_custkey + n) % 4 WHEN 0 THEN '' WHEN 1 THEN 'BE' || {_pad('c_custkey', 8)} || lpad({_s('97 - c_custkey % 97')}, 2, '0') WHEN 2 THEN 'PT ' || {_pad('c_custkey * 7', 9)} ELSE 'DE 12' END AS site_vat,
+  CASE WHEN c_custkey % 4 = 0 THEN 'erp' ELSE 'oci-supplier' END AS source, CAST(1 AS BIGINT) AS version, '2024-01-01T00:00:00Z' AS updated_at
+FROM {{customer}} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) sites
+"""
+# Supplier extracts: text cells, ids sometimes with decimals, repeats in file order.
+DOMAIN["profile_extract"] = f"""
+SELECT {_s('c_custkey')} || CASE WHEN c_custkey % 3 = 0 THEN '.00000000' ELSE '' END AS vid, 'N' || {_s('c_custkey')} AS supplier_number, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'Profile ' || c_name END AS supplier_name,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'CORPORATION' END AS tax_organization_type, CASE WHEN c_custkey % 7 = 0 THEN '2023-01-01' ELSE '' END AS inactive_date, CASE c_custkey % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' ELSE '1' END AS one_time_supplier,
+  CASE WHEN c_custkey % 4 = 0 THEN 'TP' || {_s('c_custkey')} ELSE '' END AS taxpayer_id, CASE WHEN c_custkey % 9 = 0 THEN 'TR' || {_s('c_custkey')} ELSE '' END AS tax_registration_number, c_custkey * 2 AS row_number
+FROM {{customer}} WHERE c_custkey % 13 <> 0
+UNION ALL SELECT {_s('c_custkey')} AS vid, 'N' || {_s('c_custkey')} AS supplier_number, 'Later ' || c_name AS supplier_name, 'INDIVIDUAL' AS tax_organization_type, '' AS inactive_date, 'no' AS one_time_supplier, '' AS taxpayer_id, '' AS tax_registration_number, c_custkey * 2 + 1 AS row_number
+FROM {{customer}} WHERE c_custkey % 17 = 0
+"""
+DOMAIN["site_extract"] = f"""
+SELECT {_s('c_custkey')} AS vid, CASE WHEN c_custkey % 10 = 0 THEN '' WHEN c_custkey % 14 = 0 THEN {_s('c_custkey')} || '7.00' ELSE {_s('c_custkey')} || {_s('n')} || '.00' END AS sid, 'Site ' || c_name AS supplier_name, 'BU' AS procurement_bu,
+  CASE n WHEN 1 THEN 'hq ' ELSE 'Depot' END AS address_name, 'Main Office ' || {_s('n % 2')} AS supplier_site, CASE WHEN n = 2 THEN '2024-05-05' ELSE '' END AS inactive_date, 'a@b.c' AS email, 'FR' AS country_of_origin, 'EUR' AS invoice_currency,
+  '30 Days' AS payment_terms, c_custkey * 2 + n AS row_number
+FROM {{customer}} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) sites
+"""
+DOMAIN["address_extract"] = f"""
+SELECT {_s('c_custkey')} || '.0' AS vid, CASE n WHEN 1 THEN 'HQ' ELSE 'OTHER' END AS address_name, CASE WHEN c_custkey % 8 = 0 THEN '' ELSE 'GB' END AS country, {_s('n')} || ' Street' AS address_line_1, 'City' || {_s('n')} AS city, 'PC' || {_s('c_custkey')} AS postal_code, c_custkey * 2 + n AS row_number
+FROM {{customer}} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) lines WHERE c_custkey % 5 <> 3
+"""
+DOMAIN["vat_extract"] = f"""
+SELECT CASE c_custkey % 4 WHEN 0 THEN '' ELSE {_s('c_custkey')} END AS vid, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '' ELSE {_s('c_custkey')} || '1' END AS sid, 'OU: ' || {_s('n')} AS operating_unit, {_s('100 + n')} AS org_id, 'N' || {_s('c_custkey')} AS supplier_number,
+  CASE WHEN n = 1 THEN '' ELSE 'SV' || {_s('c_custkey')} END AS supplier_vat, CASE WHEN c_custkey % 3 = 0 THEN 'MAIN OFFICE 1' ELSE 'main office 0' END AS vendor_site_code, CASE WHEN c_custkey % 6 = 1 THEN 'XV' || {_s('c_custkey')} ELSE '' END AS site_vat, c_custkey * 3 + n AS row_number
+FROM {{customer}} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SELECT 3 AS n) units WHERE n < 3 OR c_custkey % 2 = 0
+"""
+
+
 def _inputs(name: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", DOMAIN[name])))
 
