@@ -299,10 +299,11 @@ def filter_sites(sites: DataFrame, suppliers: DataFrame, q: str | None = None, *
 
 def filter_records(with_issue_arrays: DataFrame, issue: str | None = None, q: str | None = None, **equal: str) -> DataFrame:
     out = with_issue_arrays
-    if issue == "any":
-        out = out.filter(F.size("issues") > 0)
-    elif issue:
-        out = out.filter(F.exists("issues", lambda i: i["type"] == issue))
+    if issue:
+        # A semi-join on the issue table: a predicate on the array would be pushed below it and computed twice.
+        wanted = issue_table(with_issue_arrays)
+        wanted = wanted if issue == "any" else wanted.filter(F.col("type") == issue)
+        out = out.join(wanted.select("site_id").distinct(), "site_id", "left_semi")
     for name, value in equal.items():
         out = out.filter(F.col(name) == value)
     word = (q or "").strip().lower()

@@ -245,6 +245,31 @@ FROM {{customer}} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SE
 """
 
 
+# Business documents: invoice and agreement text written from orders.
+_NL = "chr(10)"
+DOMAIN["invoice_texts"] = f"""
+SELECT k AS doc_id, 'inv-' || ks || '.txt' AS file_name,
+  party_name || {_NL} || CASE k % 6 WHEN 0 THEN 'Reference only' WHEN 1 THEN 'Tax Invoice: 00' || {_pad('k', 6)} ELSE 'Invoice Number: INV/' || {_pad('k', 8)} END || {_NL}
+  || CASE k % 4 WHEN 0 THEN 'Invoice date: ' || {_s('d')} WHEN 1 THEN 'Date Issued: 5/' || substr({_s('d')}, 6, 2) || '/' || substr({_s('d')}, 3, 2) WHEN 2 THEN 'Issue date: 7 March ' || substr({_s('d')}, 1, 4) ELSE 'Dated today' END || {_NL}
+  || CASE WHEN k % 3 = 0 THEN 'Due Date: ' || {_s('d + 30')} || {_NL} ELSE '' END || CASE WHEN k % 5 = 0 THEN 'Payment Terms: Net 30' || {_NL} ELSE '' END
+  || CASE WHEN k % 7 = 0 THEN 'Supplier Name: Acme ' || {_s('k % 50')} || {_NL} ELSE '' END || 'VAT Number: GB' || {_pad('k', 9)} || {_NL}
+  || CASE WHEN k % 8 = 0 THEN 'BIC: BARCGB22XXX' || {_NL} || 'BSB: 062-000' || {_NL} ELSE '' END || CASE WHEN k % 2 = 0 THEN 'Description   Qty  Amount' || {_NL} ELSE '' END
+  || 'Consulting block A  ' || CAST(cents / 400.0 AS DECIMAL(18, 2)) || {_NL} || 'Delivery ' || {_s('k % 9')} || '  1,200.50' || {_NL} || 'Page 1' || {_NL}
+  || 'Subtotal ' || CAST(cents / 100.0 AS DECIMAL(18, 2)) || {_NL} || CASE WHEN k % 3 = 1 THEN 'VAT @ 20 (17.95) CR' ELSE 'GST 20.00' END || {_NL}
+  || CASE WHEN k % 9 = 0 THEN 'thanks' ELSE 'Total Amount (' || currency || ') ' || CAST(cents / 100.0 AS DECIMAL(18, 2)) END || {_NL} AS text, d, cents
+FROM {{order_facts}}
+"""
+DOMAIN["agreement_texts"] = f"""
+SELECT k AS doc_id, 'agr-' || ks || '.txt' AS file_name,
+  CASE k % 5 WHEN 0 THEN 'Some agreement' WHEN 1 THEN 'Agreement Number' || {_NL} || 'AG-' || {_pad('k', 6)} ELSE 'Agreement ID: AG-' || {_pad('k', 6)} END || {_NL}
+  || CASE WHEN k % 3 = 0 THEN '' ELSE 'Requestor: Jo Smith' || {_NL} END || CASE k % 4 WHEN 0 THEN 'Agreement Type: Employment contract' WHEN 1 THEN 'Document Type: Lease' WHEN 2 THEN 'This policy applies' ELSE 'Plain text' END || {_NL}
+  || CASE WHEN k % 2 = 0 THEN 'Business Function: Finance' || {_NL} ELSE '' END || 'Legal Entity: ' || party_name || {_NL}
+  || CASE k % 3 WHEN 0 THEN 'Start date: ' || {_s('d')} WHEN 1 THEN 'Effective date: 3 April 2021' ELSE 'Commencement' || {_NL} || '01/02/21' END || {_NL}
+  || CASE k % 4 WHEN 0 THEN 'End date: 31/12/2030' WHEN 1 THEN 'This is perpetual' WHEN 2 THEN 'Perpetual: No' ELSE '' END || {_NL} || CASE WHEN k % 6 = 0 THEN 'Auto-renew: Yes' ELSE '' END AS text
+FROM {{order_facts}}
+"""
+
+
 def _inputs(name: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", DOMAIN[name])))
 
