@@ -270,6 +270,19 @@ FROM {{order_facts}}
 """
 
 
+# Edit history of supplier records, from the event stream.
+DOMAIN["audit_events"] = f"""
+SELECT 'AUD-' || {_pad('event_id', 12)} AS id, CASE WHEN event_id % 3 = 0 THEN 'supplier' ELSE 'site' END AS record_type,
+  CASE WHEN event_id % 3 = 0 THEN {_s('user_id')} ELSE {_s('user_id')} || '-' || {_s('1 + event_id % 2')} END AS record_id, CASE WHEN event_id % 17 = 0 THEN 'ingest' ELSE 'update' END AS action,
+  CASE event_id % 4 WHEN 0 THEN 'name' WHEN 1 THEN 'city' WHEN 2 THEN 'paymentTerms' ELSE 'payGroup' END AS field, {_s('event_id % 5')} AS old_value, {_s('event_id % 3')} AS new_value,
+  'user' || {_s('user_id % 7')} AS actor, {_s('CAST(ts AS DATE)')} AS created_at, event_id AS seq
+FROM {{events}}
+"""
+DOMAIN["vat_checks"] = f"""
+SELECT 'VAT-' || {_pad('event_id', 12)} AS id, {_s('user_id')} || '-' || {_s('1 + event_id % 2')} AS site_id, event_type AS validity, {_s('CAST(ts AS DATE)')} AS created_at FROM {{events}} WHERE event_id % 2 = 0
+"""
+
+
 def _inputs(name: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", DOMAIN[name])))
 
