@@ -241,7 +241,7 @@ def u05(d: Domain):
 FORECAST_NEEDS = (*RECON_NEEDS, "statements", "bank_accounts")
 FORECAST_CTES = RECON_CTES + rf""",
 period AS (SELECT min(period_start) AS start FROM statements),
-live AS (SELECT r.* FROM remittances r, period WHERE r.date >= start),
+live AS MATERIALIZED (SELECT r.* FROM remittances r, period WHERE r.date >= start),
 live_keys AS (SELECT DISTINCT id, {norm_key('k')} AS key FROM (SELECT id, unnest(list_concat([id, reference, remittance_number], invoice_numbers)) AS k FROM live) WHERE trim(k) <> ''),
 named_results AS (SELECT transaction_id, {norm_key('matched_id')} AS key FROM recon WHERE status <> 'unmatched' AND matched_id IS NOT NULL),
 key_ids AS (SELECT DISTINCT id FROM live_keys WHERE key IN (SELECT key FROM named_results)),
@@ -254,7 +254,7 @@ left_over AS (
   SELECT id, party, currency, amount, row_number() OVER (PARTITION BY party, currency, amount ORDER BY date, id) AS rn
   FROM live WHERE id NOT IN (SELECT id FROM key_ids)),
 amount_ids AS (SELECT o.id FROM left_over o JOIN free_lines f USING (party, currency, amount, rn)),
-consumed AS (SELECT id FROM key_ids UNION SELECT id FROM amount_ids)
+consumed AS MATERIALIZED (SELECT id FROM key_ids UNION SELECT id FROM amount_ids)
 """
 
 
@@ -305,8 +305,8 @@ ANOMALY_CTES = RECON_CTES + f""",
 grouped AS (
   SELECT *, first_value(id) OVER w AS first_id, first_value(date) OVER w AS first_date
   FROM bank_transactions WINDOW w AS (PARTITION BY account_id, amount, lower(coalesce(counterparty, reference, '')) ORDER BY date, id)),
-dups AS (SELECT * FROM grouped WHERE id <> first_id AND abs(date_diff('day', CAST(first_date AS DATE), CAST(date AS DATE))) <= 5),
-joined AS (SELECT r.*, t.counterparty FROM recon r JOIN bank_transactions t ON t.id = r.transaction_id),
+dups AS MATERIALIZED (SELECT * FROM grouped WHERE id <> first_id AND abs(date_diff('day', CAST(first_date AS DATE), CAST(date AS DATE))) <= 5),
+joined AS MATERIALIZED (SELECT r.*, t.counterparty FROM recon r JOIN bank_transactions t ON t.id = r.transaction_id),
 large AS (SELECT * FROM joined WHERE status = 'unmatched' AND abs(amount) >= 4000000),
 pool AS (SELECT *, CASE WHEN amount > 0 THEN 'in' WHEN amount < 0 THEN 'out' END AS direction FROM bank_transactions
   WHERE id NOT IN (SELECT id FROM dups) AND id NOT IN (SELECT transaction_id FROM large)),

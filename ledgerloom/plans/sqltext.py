@@ -73,7 +73,7 @@ DOC = "struct_pack(o := source_row, id := id, amount := amount)"
 # Reconciliation written the plain way: every rule's hits joined row by row, no classes or blocking.
 RECON_NEEDS = ("bank_transactions", "sales_orders", "purchase_orders", "remittances")
 RECON_CTES = rf"""
-lines AS (
+lines AS MATERIALIZED (
   SELECT id AS transaction_id, account_id, date, amount, currency, CASE WHEN amount >= 0 THEN 'O2C' ELSE 'P2P' END AS flow,
     abs(amount) AS abs_amount, {tokens(*FIELDS)} AS tokens, {norm_name(join_filled(*PARTY))} AS party_text
   FROM bank_transactions),
@@ -103,7 +103,7 @@ ref_hits AS (
   SELECT transaction_id, count(*) AS ref_n, count(*) FILTER (amount = abs_amount) AS ref_equal_n, min({DOC}) AS ref_doc,
     min({DOC}) FILTER (amount = abs_amount) AS ref_equal_doc
   FROM ref_pairs GROUP BY 1),
-amount_pairs AS (
+amount_pairs AS MATERIALIZED (
   SELECT l.transaction_id, l.party_text, r.id, r.amount, r.source_row, {norm_name('r.name')} AS norm
   FROM lines l JOIN remittances r ON r.currency = l.currency AND r.amount = l.abs_amount AND (CASE r.party WHEN 'customer' THEN 'O2C' ELSE 'P2P' END) = l.flow),
 amount_hits AS (SELECT transaction_id, count(*) AS rem_n, min({DOC}) AS rem_doc FROM amount_pairs GROUP BY 1),
@@ -111,7 +111,7 @@ name_hits AS (SELECT transaction_id, count(*) AS named_n, min({DOC}) AS named_do
 doc_hits AS (
   SELECT l.transaction_id, count(*) AS com_n, min(struct_pack(o := c.source_row, id := c.id, amount := c.amount)) AS com_doc
   FROM lines l JOIN commercial c ON c.flow = l.flow AND c.currency = l.currency AND c.amount = l.abs_amount GROUP BY 1),
-context AS (
+context AS MATERIALIZED (
   SELECT l.*, coalesce(id_n, 0) AS id_n, coalesce(id_equal_n, 0) AS id_equal_n, id_doc, coalesce(po_n, 0) AS po_n, coalesce(po_equal_n, 0) AS po_equal_n, po_doc,
     coalesce(ref_n, 0) AS ref_n, coalesce(ref_equal_n, 0) AS ref_equal_n, ref_doc, ref_equal_doc, coalesce(rem_n, 0) AS rem_n, rem_doc,
     coalesce(named_n, 0) AS named_n, named_doc, coalesce(com_n, 0) AS com_n, com_doc
@@ -149,7 +149,7 @@ results AS (
       + (CASE WHEN ref_n > 0 THEN ref_n WHEN named_n = 1 THEN 1 ELSE rem_n END) ELSE 1 END AS candidate_count,
     id_n, po_n, ref_n, rem_n, named_n, com_n
   FROM chosen),
-recon AS (
+recon AS MATERIALIZED (
   SELECT transaction_id, account_id, date, amount, currency, flow, status, matched_type, winner.id AS matched_id, CAST(confidence AS DOUBLE) AS confidence,
     CASE WHEN winner IS NULL THEN 0 ELSE abs_amount - winner.amount END AS amount_diff, match_pattern, CAST(candidate_count AS BIGINT) AS candidate_count,
     id_n, po_n, ref_n, rem_n, named_n, com_n
