@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, money, text
-from ..functions.names import names_loosely_match, normalise_party
 from ..operators import anomalies, cash, forecast, matching, recon
 from ..sources.adapters import Domain
 from .catalog import Catalog
-from .sqltext import DOC, FIELDS, PARTY, RECON_CTES, RECON_NEEDS, distinctive, join_filled, loosely, norm_key, norm_name, plain, tokens
+from .sqltext import RECON_CTES, RECON_NEEDS, norm_key, plain
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -122,9 +120,6 @@ def p11(d: Domain):
     return cash.attach_source(blanked, d.statements).select("id", "source_file")
 
 
-SEARCH_COLUMNS = ("description", "narrative", "reference", "counterparty", "customer_reference", "bank_reference", "trn_type", "date", "source_file")
-
-
 @add("P03_transaction_search", "SELECT id FROM bank_transactions WHERE contains(lower(concat_ws(' ', date, description, reference, counterparty, narrative, customer_reference, bank_reference, account_id, currency)), 'northgate mills')", LINES)
 def p03(d: Domain):
     return search_transactions(d.bank_transactions, "Northgate Mills").select("id")
@@ -337,7 +332,7 @@ def flat(anomaly_df):
 
 
 def detected(d: Domain):
-    return anomalies.detect(d.bank_accounts, d.bank_transactions, results_of(d))
+    return d.remember("anomalies", lambda: anomalies.detect(d.bank_accounts, d.bank_transactions, results_of(d)))
 
 
 @add("D03a_duplicates", "SELECT * FROM anomalies WHERE type = 'duplicate'", ANOMALY_NEEDS, ANOMALY_CTES)
