@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_transducer, token_counts
+from . import bpe_transducer, exact_dedup, quality_rules, token_counts
 from .rows import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +30,43 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN)
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = quality_rules.judge(documents(spark, sf_dir), measures=base)
+    failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
+    return judged.select("doc_id", *base, failed.alias("base_failed"), "kept")
+
+
+ORACLES["op8_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
+    coalesce(n, 0) AS n_repeat_words, len(list_filter(ws, x -> regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS upper_words,
+    len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1])) AS echoes
+  FROM w LEFT JOIN covered USING (doc_id)
+), j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 10 * upper_words > 3 * n_words
+    OR 10 * echoes > 3 * n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words) AS kept
+FROM j
+"""
+
+
+@query
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+
+
+ORACLES["op9_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
