@@ -15,11 +15,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb
 
-from ledgerloom.plans.registry import CATALOG
+import __spark_entry__ as registered
 from ledgerloom.session import build_session
 from ledgerloom.sources.adapters import BASE_TABLES
 
 
+QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
+
+
 def cell(v):
     if isinstance(v, decimal.Decimal):
         v = int(v) if v == v.to_integral_value() else float(v)
@@ -42,12 +45,12 @@ def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
-    df = CATALOG.queries[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = sorted(tuple(cell(r[c]) for c in cols) for r in df.collect())
-    if name not in CATALOG.oracles:
+    if name not in ORACLES:
         return True, f"{len(got)} rows, no checking SQL"
-    rel = con.execute(CATALOG.oracles[name])
+    rel = con.execute(ORACLES[name])
     names = [x[0] for x in rel.description]
     if sorted(names) != cols:
         return False, f"columns {cols} against {sorted(names)}"
@@ -68,7 +71,7 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle_connection(sf_dir)
     bad = 0
-    for name in CATALOG.queries:
+    for name in QUERIES:
         if args and not any(name.startswith(a) for a in args):
             continue
         start = time.time()
