@@ -42,15 +42,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op8_quality_rules"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
 m AS (
-  SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS word_chars,
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum([length(x) FOR x IN ws]), 0) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
-    coalesce(n, 0) AS n_repeat_words, len(list_filter(ws, x -> regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS upper_words,
-    len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1])) AS echoes
+    coalesce(n, 0) AS n_repeat_words, len([x FOR x IN ws IF regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')]) AS upper_words,
+    len([i FOR i IN range(2, len(ws) + 1) IF ws[i] = ws[i - 1]]) AS echoes
   FROM w LEFT JOIN covered USING (doc_id)
 ), j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
