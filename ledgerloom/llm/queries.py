@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, exact_dedup, jaccard_join, quality_rules, token_counts
-from .rows import documents
+from . import bpe_transducer, exact_dedup, jaccard_join, language_id, quality_model, quality_rules, token_counts
+from .rows import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,16 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_model.fit(docs, documents(spark, sf_dir, "labels"))
+    return quality_model.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.fit(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
