@@ -14,6 +14,8 @@ DEFAULTS = {
     # N:1 attach joins feed straight into projections; let AQE split a hot key
     # even when that costs one more exchange further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # checkpoints go when nothing reads them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -26,18 +28,29 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and read it back with no lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Uses the cluster's ``spark.checkpoint.dir``. A folder of our own is set only
-    where the session names none (unit tests on one machine).
+    A folder of our own is made only where the session names none and runs on one machine; a cluster without the
+    setting is refused, as executors cannot see each other's local folders.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    global _OWN_FOLDER
+    if _OWN_FOLDER is None:
+        _OWN_FOLDER = tempfile.mkdtemp(prefix="ledgerloom-ckpt-")
+    return _OWN_FOLDER
+
+
+_OWN_FOLDER: str | None = None
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back with no lineage."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
