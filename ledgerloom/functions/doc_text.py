@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import MONTHS, month_number
+from .bind import let
+from .dates import MONTHS
 from .money import col, strip, to_cents
 
 # Patterns and lists the extractors look for.
@@ -24,7 +25,7 @@ BSB = r"(?i)\bBSB[:\s]*(\d{3}-?\d{3})\b"
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of a group, trimmed, or null."""
-    return F.nullif(strip(F.regexp_extract(text, pattern, group)), F.lit(""))
+    return let(strip(F.regexp_extract(text, pattern, group)), lambda v: F.when(v != "", v))
 
 
 def labelled(text: Column, labels: str, value: str) -> Column:
@@ -50,10 +51,13 @@ def lines_of(text: Column | str) -> Column:
 
 def parse_money(c: Column | str) -> Column:
     """Money text to cents; ``CR`` or parentheses make it negative, other text is null."""
-    raw = strip(c)
-    bare = F.regexp_replace(F.regexp_replace(raw, r"[A-Za-z]", " "), r"[$£€,\s()]", "")
-    cents = to_cents(F.when(bare.rlike(r"^-?\d+(\.\d{1,4})?$"), bare.try_cast("double")))
-    return F.when(raw.rlike(r"(?i)\bCR\b") | raw.rlike(r"^\(.*\)$"), -F.abs(cents)).otherwise(cents)
+
+    def cents(raw: Column) -> Column:
+        bare = F.regexp_replace(raw, r"[A-Za-z$£€,\s()]", "")
+        value = let(bare, lambda b: to_cents(F.when(b.rlike(r"^-?\d+(\.\d{1,4})?$"), b.try_cast("double"))))
+        return let(value, lambda v: F.when(v.isNotNull() & (raw.rlike(r"(?i)\bCR\b") | raw.rlike(r"^\(.*\)$")), -F.abs(v)).otherwise(v))
+
+    return let(strip(c), cents)
 
 
 def money_tokens(c: Column | str) -> Column:
@@ -80,23 +84,27 @@ def detect_currency(text: Column | str) -> Column:
 
 def document_date(c: Column | str) -> Column:
     """Four date layouts with a two-digit-year pivot at 70 and a range check."""
-    raw = strip(F.regexp_replace(F.regexp_replace(col(c), r"[.,]", " "), r"\s+", " "))
 
-    def built(pattern: str, y: int, m: int, d: int, named: bool) -> Column:
-        part = lambda i: F.regexp_extract(raw, pattern, i)
-        month = full_month(part(m)) if named else F.lpad(part(m), 2, "0")
-        year = F.when(F.length(part(y)) == 4, part(y)).otherwise(
-            F.concat(F.when(part(y).try_cast("int") >= 70, "19").otherwise("20"), F.lpad(part(y), 2, "0")))
-        year = F.when(F.length(part(y)) == 3, F.concat(F.when(part(y).try_cast("int") >= 70, "19").otherwise("20"), part(y))).otherwise(year)
-        valid = month.try_cast("int").between(1, 12) & part(d).try_cast("int").between(1, 31)
-        return F.when(raw.rlike(pattern) & valid, F.concat_ws("-", year, month, F.lpad(part(d), 2, "0")))
+    def from_parts(y: Column, m: Column, d: Column, named: bool) -> Column:
+        month = full_month(m) if named else F.lpad(m, 2, "0")
+        century = F.when(y.try_cast("int") >= 70, "19").otherwise("20")
+        year = F.when(F.length(y) == 4, y).when(F.length(y) == 3, F.concat(century, y)).otherwise(F.concat(century, F.lpad(y, 2, "0")))
+        text = let(month, lambda mm: F.when(mm.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31), F.concat_ws("-", year, mm, F.lpad(d, 2, "0"))))
+        return text
+
+    def layout(raw: Column, pattern: str, y: int, m: int, d: int, named: bool) -> Column:
+        parts = F.array(*(F.regexp_extract(raw, pattern, i) for i in (y, m, d)))
+        return F.when(raw.rlike(pattern), let(parts, lambda p: from_parts(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2)), named)))
 
-    return F.coalesce(
-        built(r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})$", 1, 2, 3, False),
-        built(r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$", 3, 2, 1, False),
-        built(r"^(\d{1,2})\s*/?\s*([A-Za-z]{3,9})\s*/?\s*(\d{2,4})$", 3, 2, 1, True),
-        built(r"^([A-Za-z]{3,9})\s+(\d{1,2})\s+(\d{2,4})$", 3, 1, 2, True),
-    )
+    def any_layout(raw: Column) -> Column:
+        return F.when(raw.rlike(r"\d"), F.coalesce(
+            layout(raw, r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})$", 1, 2, 3, False),
+            layout(raw, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$", 3, 2, 1, False),
+            layout(raw, r"^(\d{1,2})\s*/?\s*([A-Za-z]{3,9})\s*/?\s*(\d{2,4})$", 3, 2, 1, True),
+            layout(raw, r"^([A-Za-z]{3,9})\s+(\d{1,2})\s+(\d{2,4})$", 3, 1, 2, True),
+        ))
+
+    return let(strip(F.regexp_replace(col(c), r"[.,\s]+", " ")), any_layout)
 
 
 # Month names written out.
@@ -105,8 +113,8 @@ FULL_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "
 
 def full_month(name: Column) -> Column:
     """Number of a month written short or in full; other words are no month."""
-    known = F.lower(name).isin(*MONTHS, *FULL_MONTHS, "sept")
-    return F.when(known, month_number(name))
+    numbers = {m: f"{i:02d}" for names in (MONTHS, FULL_MONTHS) for i, m in enumerate(names, 1)} | {"sept": "09"}
+    return F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair))[F.lower(name)]
 
 
 def first_date(c: Column | str) -> Column:
@@ -118,13 +126,12 @@ def vat_number(text: Column | str) -> Column:
 
 
 def tax_id(text: Column | str) -> Column:
-    digits = digits_only(found(col(text), TAX_ID))
-    return F.when(F.length(digits) >= 11, F.substring(digits, 1, 11))
+    """Eleven digits; a longer run of digits is no tax id."""
+    return let(digits_only(found(col(text), TAX_ID)), lambda d: F.when(F.length(d) == 11, d))
 
 
 def iban(text: Column | str) -> Column:
-    value = found(squeeze(F.upper(col(text))), IBAN)
-    return F.when(F.length(value).between(15, 34), F.regexp_replace(value, r"(BIC|SWIFT)$", ""))
+    return let(found(squeeze(F.upper(col(text))), IBAN), lambda v: F.when(F.length(v).between(15, 34), F.regexp_replace(v, r"(BIC|SWIFT)$", "")))
 
 
 def bic(text: Column | str) -> Column:
@@ -132,11 +139,15 @@ def bic(text: Column | str) -> Column:
 
 
 def value_after_label(lines: Column, label: str, value: str, window: int = 3) -> Column:
-    """Value on the line of a label, else on one of the next lines; first label that yields one."""
+    """Value on the line of a label, else on one of the next lines; first label that yields one.
+
+    Only the first label of a line is cut out before the line is searched.
+    """
     pattern, label_re = rf"(?i)({value})", rf"(?i){label}"
+    first_label = rf"(?is)^(.*?)(?:{label})"
 
     def near(line: Column, i: Column) -> Column:
-        here = found(F.regexp_replace(line, label_re, " "), pattern)
+        here = found(F.regexp_replace(line, first_label, "$1 "), pattern)
         following = F.transform(F.slice(lines, i + 2, F.lit(window)), lambda nxt: found(nxt, pattern))
         return F.when(line.rlike(label_re), F.coalesce(here, F.get(F.array_compact(following), F.lit(0))))
 
