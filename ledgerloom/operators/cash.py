@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import distributed_row_number
+
 
 def chronological() -> Column:
     """Sort key, oldest first: listings are newest-first, so a larger line number is older."""
@@ -99,16 +101,16 @@ def close_check(positions: DataFrame) -> DataFrame:
 def continuity(lines: DataFrame) -> DataFrame:
     """Lines whose balance is not the next (older) line's balance plus their own amount.
 
-    ``lines`` needs ``statement_id, line_number, amount, balance_after``. Each
-    line is joined to its successor's number, so no statement has to fit one task.
+    ``lines`` needs ``statement_id, line_number, amount, balance_after``. The next line is the one with the next larger
+    number that is there: rejected rows leave gaps. Lines are numbered without gaps and joined to their successors, so no
+    statement has to fit one task.
     """
-    numbered = lines.select("statement_id", "line_number", "amount", "balance_after")
-    older = numbered.select(
-        "statement_id", (F.col("line_number") - 1).alias("line_number"), F.col("balance_after").alias("older_balance")
-    )
+    slim = lines.select("statement_id", "line_number", "amount", "balance_after")
+    numbered = distributed_row_number(slim, ["statement_id"], ["line_number"], "_at")
+    older = numbered.select("statement_id", (F.col("_at") - 1).alias("_at"), F.col("balance_after").alias("older_balance"))
     expected = F.col("older_balance") + F.col("amount")
     return (
-        numbered.join(older, ["statement_id", "line_number"])
+        numbered.join(older, ["statement_id", "_at"]).drop("_at")
         .filter("balance_after is not null and older_balance is not null")
         .filter(F.col("balance_after") != expected)
         .withColumn("expected_balance", expected)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import text_or_empty
@@ -40,6 +40,14 @@ def latest(df: DataFrame, key: str, *values: str) -> DataFrame:
     return newest.groupBy(key).agg(F.max_by(F.struct("created_at", "r"), F.col("created_at")).alias("n")).select(key, "n.created_at", "n.r.*")
 
 
+def newest(audit: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` newest audit rows with their ``rank``; a top-k report, so only those rows reach one task."""
+    if rows < 1:
+        raise ValueError("rows is at least 1")
+    top = audit.orderBy(F.desc("created_at"), F.desc("id")).limit(rows)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))).cast("bigint"))
+
+
 def review(suppliers: DataFrame, sites: DataFrame, audit: DataFrame, vat_checks: DataFrame) -> DataFrame:
     """Edited suppliers: net header changes, sites with net changes, last edit and latest check.
 
@@ -166,15 +174,47 @@ def registry_check(records: DataFrame, registry: DataFrame) -> DataFrame:
 
 # --- import package ---------------------------------------------------------------
 
-def in_scope(suppliers: DataFrame, source_profiles: DataFrame, audit: DataFrame, scope: str = "all") -> DataFrame:
-    """Suppliers of a package: all, new (no source row), or changed (edited, or new)."""
-    source = source_profiles.select(F.col("vid").alias("id")).distinct().withColumn("in_source", F.lit(True))
-    edited = audit.filter("action = 'update' and record_type = 'supplier'").select(F.col("record_id").alias("id")).distinct().withColumn("edited", F.lit(True))
-    flagged = suppliers.join(source, "id", "left").join(edited, "id", "left")
-    is_new = F.col("in_source").isNull()
-    flagged = flagged.withColumn("import_action", F.when(is_new | F.lit(scope == "new"), "CREATE").otherwise("UPDATE"))
-    kept = {"all": F.lit(True), "new": is_new, "changed": is_new | F.col("edited")}[scope]
-    return flagged.filter(kept).drop("in_source", "edited")
+def source_matches(suppliers: DataFrame, sites: DataFrame, source_profiles: DataFrame, source_sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``suppliers`` with ``has_source`` and ``sites`` with ``has_source``.
+
+    A profile is found by vid, else by supplier number; a site by sid, else by the supplier's number and its code without
+    regard to case, the number of a source site being that of the last profile row with its vid. Sources need ``row_number``.
+    """
+    filled = lambda df, c: df.select(text_or_empty(c).alias("_key")).filter("_key != ''").distinct().withColumn("_hit", F.lit(True))
+    hit = lambda df, keys, c, out: df.join(keys.withColumnRenamed("_hit", out), text_or_empty(c) == F.col("_key"), "left").drop("_key")
+    heads = hit(hit(suppliers, filled(source_profiles, "vid"), "id", "_by_id"), filled(source_profiles, "supplier_number"), "supplier_number", "_by_number")
+    heads = heads.withColumn("has_source", F.coalesce("_by_id", "_by_number", F.lit(False))).drop("_by_id", "_by_number")
+    last = source_profiles.groupBy(text_or_empty("vid").alias("_vid")).agg(F.max_by(text_or_empty("supplier_number"), "row_number").alias("_number"))
+    key = lambda number, code: F.concat_ws("|", number, F.upper(text_or_empty(code)))
+    named = source_sites.join(last, text_or_empty("vid") == F.col("_vid")).filter((F.col("_number") != "") & (text_or_empty("supplier_site") != ""))
+    named = named.select(key(F.col("_number"), "supplier_site").alias("_code"))
+    numbers = suppliers.select(F.col("id").alias("supplier_id"), text_or_empty("supplier_number").alias("_number"))
+    places = sites.join(numbers, "supplier_id", "left").withColumn("_code", key(F.coalesce("_number", F.lit("")), "site_code"))
+    places = hit(hit(places, filled(source_sites, "sid"), "id", "_by_id"), filled(named, "_code"), "_code", "_by_code")
+    return heads, places.withColumn("has_source", F.coalesce("_by_id", "_by_code", F.lit(False))).drop("_by_id", "_by_code", "_code", "_number")
+
+
+def in_scope(
+    suppliers: DataFrame, sites: DataFrame, source_profiles: DataFrame, source_sites: DataFrame, audit: DataFrame, scope: str = "all", action: str | None = None,
+) -> DataFrame:
+    """Suppliers of a package with their ``import_action``.
+
+    ``new`` takes those without a source profile or with a site that has no source row; ``changed`` also those with a site
+    of which, or of whose supplier, an update is on record. A supplier that has no source is created; others get
+    ``action``, by default CREATE for the scope ``new``, else UPDATE.
+    """
+    if scope not in ("all", "new", "changed"):
+        raise ValueError(f"no such scope: {scope}")
+    heads, places = source_matches(suppliers, sites, source_profiles, source_sites)
+    edits = audit.filter("action = 'update' and record_id != '*'").select(F.col("record_id").alias("_record")).distinct()
+    seen = lambda df, c, out: df.join(edits.withColumn(out, F.lit(True)), F.col(c) == F.col("_record"), "left").drop("_record")
+    facts = seen(seen(places, "id", "_site_edit"), "supplier_id", "_head_edit").groupBy(F.col("supplier_id").alias("_supplier")).agg(
+        F.bool_or(~F.col("has_source")).alias("_new_site"), F.bool_or(F.coalesce("_site_edit", "_head_edit", F.lit(False))).alias("_changed"))
+    out = heads.join(facts, F.col("id") == F.col("_supplier"), "left").drop("_supplier")
+    is_new = ~F.col("has_source") | F.coalesce("_new_site", F.lit(False))
+    kept = {"all": F.lit(True), "new": is_new, "changed": is_new | F.coalesce("_changed", F.lit(False))}[scope]
+    given = F.lit(action or ("CREATE" if scope == "new" else "UPDATE"))
+    return out.filter(kept).withColumn("import_action", F.when(~F.col("has_source"), "CREATE").otherwise(given)).drop("has_source", "_new_site", "_changed")
 
 
 def overlay_report(working: DataFrame, source: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:

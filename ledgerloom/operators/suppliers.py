@@ -23,13 +23,22 @@ ISSUE_TYPES = ("missing_attribute", "invalid_vat", "invalid_address", "rationali
 
 # --- extracts to working copy ------------------------------------------------
 
-def slug(c: Column) -> Column:
+def slug(c: Column, longest: int = 40) -> Column:
+    """Words joined by hyphens, at most ``longest`` characters as ids of the source have them; ids made equal by the cut get numbers."""
     words = F.regexp_replace(F.regexp_replace(F.lower(text_or_empty(c)), r"[^a-z0-9]+", "-"), r"^-|-$", "")
-    return F.coalesce(F.nullif(F.substring(words, 1, 40), F.lit("")), F.lit("site"))
+    return F.coalesce(F.nullif(F.substring(words, 1, longest), F.lit("")), F.lit("site"))
 
 
-def site_code_key(number: Column, code: Column) -> Column:
-    return F.concat_ws("|", text_or_empty(number), F.upper(F.substring(text_or_empty(code), 1, 15)))
+def site_code_key(number: Column, code: Column, width: int = 15) -> Column:
+    """Key of a site in the tax extract, whose codes are ``width`` characters wide. See :func:`ambiguous_site_codes`."""
+    return F.concat_ws("|", text_or_empty(number), F.upper(F.substring(text_or_empty(code), 1, width)))
+
+
+def ambiguous_site_codes(sites: DataFrame, width: int = 15) -> DataFrame:
+    """``(key, codes)``: keys that more than one whole code of a supplier number falls on, to be looked at by a person."""
+    whole = F.upper(text_or_empty("site_code"))
+    keyed = sites.select(site_code_key(F.col("supplier_number"), F.col("site_code"), width).alias("key"), whole.alias("code")).distinct()
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("codes")).filter("codes > 1")
 
 
 def is_yes(c: Column) -> Column:
@@ -313,8 +322,15 @@ def filter_records(with_issue_arrays: DataFrame, issue: str | None = None, q: st
 
 
 def page(sites: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page in id order; the limit is kept within 1..500."""
-    return sites.orderBy("id").offset(max(0, offset)).limit(min(500, max(1, limit)))
+    """One page in id order; ``limit`` is 1 to 500."""
+    if not 1 <= limit <= 500 or offset < 0:
+        raise ValueError("limit is 1 to 500, offset at least 0")
+    return sites.orderBy("id").offset(offset).limit(limit)
+
+
+def total(sites: DataFrame) -> DataFrame:
+    """Number of rows that pages are cut from."""
+    return sites.agg(F.count(F.lit(1)).alias("total"))
 
 
 def site_labels(sites: DataFrame) -> DataFrame:

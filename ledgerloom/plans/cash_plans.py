@@ -94,9 +94,10 @@ def a19(d: Domain):
 
 
 @add("W05_balance_continuity", """SELECT a.statement_id, a.line_number, a.amount, a.balance_after, b.balance_after AS older_balance, b.balance_after + a.amount AS expected_balance
-FROM listed a JOIN listed b ON b.statement_id = a.statement_id AND b.line_number = a.line_number + 1
+FROM ordered a JOIN ordered b ON b.statement_id = a.statement_id AND b.line_number = a.next_line
 WHERE a.balance_after <> b.balance_after + a.amount""", ("order_facts",), """
-listed AS (SELECT 'ST-' || CAST(nation_key AS STRING) AS statement_id, k AS line_number, cents AS amount, CASE WHEN k % 9 <> 0 THEN k * 100 + cents * (k % 2) END AS balance_after FROM order_facts)""")
+listed AS (SELECT 'ST-' || CAST(nation_key AS STRING) AS statement_id, k AS line_number, cents AS amount, CASE WHEN k % 9 <> 0 THEN k * 100 + cents * (k % 2) END AS balance_after FROM order_facts),
+ordered AS (SELECT *, lead(line_number) OVER (PARTITION BY statement_id ORDER BY line_number) AS next_line FROM listed)""")
 def w05(d: Domain):
     listed = d.order_facts.selectExpr(
         "'ST-' || CAST(nation_key AS STRING) AS statement_id", "k AS line_number", "cents AS amount",

@@ -36,9 +36,9 @@ def d06(d: Domain):
     return out.withColumns({"head_changes": F.to_json("head_changes"), "changes": F.to_json("changes")})
 
 
-@add("T04_newest_audit", "SELECT id FROM audit_events ORDER BY created_at DESC, id DESC LIMIT 500", AUDIT)
+@add("T04_newest_audit", "SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS rank FROM audit_events QUALIFY rank <= 500", AUDIT)
 def t04(d: Domain):
-    return d.audit_events.orderBy(F.desc("created_at"), F.desc("id")).limit(500).select("id")
+    return ed.newest(d.audit_events, 500).select("id", "rank")
 
 
 FIELDS = ("name", "type", "status")
@@ -89,10 +89,26 @@ def j20(d: Domain):
     return ed.registry_check(r, registry)
 
 
-@add("P13_package_scope", """SELECT s.id, CASE WHEN p.vid IS NULL THEN 'CREATE' ELSE 'UPDATE' END AS import_action FROM suppliers s LEFT JOIN (SELECT DISTINCT vid FROM profile_extract) p ON p.vid = s.id
-WHERE p.vid IS NULL OR s.id IN (SELECT record_id FROM audit_events WHERE action = 'update' AND record_type = 'supplier')""", ("suppliers", "profile_extract", "audit_events"))
+_SCOPE = """
+last_number AS (SELECT trim(vid) AS v, arg_max(trim(supplier_number), row_number) AS number FROM profile_extract GROUP BY 1),
+placed AS (SELECT t.id, t.supplier_id,
+    EXISTS (SELECT 1 FROM site_extract x WHERE trim(x.sid) <> '' AND trim(x.sid) = t.id)
+    OR EXISTS (SELECT 1 FROM site_extract x JOIN last_number n ON n.v = trim(x.vid) WHERE n.number <> '' AND trim(x.supplier_site) <> '' AND n.number = trim(s.supplier_number) AND upper(trim(x.supplier_site)) = upper(trim(t.site_code))) AS found,
+    EXISTS (SELECT 1 FROM audit_events e WHERE e.action = 'update' AND e.record_id <> '*' AND e.record_id IN (t.id, t.supplier_id)) AS edited
+  FROM supplier_sites t LEFT JOIN suppliers s ON s.id = t.supplier_id),
+judged AS (SELECT s.id, EXISTS (SELECT 1 FROM profile_extract p WHERE trim(p.vid) <> '' AND trim(p.vid) = s.id OR trim(p.supplier_number) <> '' AND trim(p.supplier_number) = trim(s.supplier_number)) AS known,
+    EXISTS (SELECT 1 FROM placed t WHERE t.supplier_id = s.id AND NOT t.found) AS new_site, EXISTS (SELECT 1 FROM placed t WHERE t.supplier_id = s.id AND t.edited) AS edited FROM suppliers s)"""
+_SCOPE_TABLES = ("suppliers", "supplier_sites", "profile_extract", "site_extract", "audit_events")
+
+
+@add("P13_package_scope", "SELECT id, CASE WHEN known THEN 'UPDATE' ELSE 'CREATE' END AS import_action FROM judged WHERE NOT known OR new_site OR edited", _SCOPE_TABLES, _SCOPE)
 def p13(d: Domain):
-    return ed.in_scope(d.suppliers, d.profile_extract, d.audit_events, "changed").select("id", "import_action")
+    return ed.in_scope(d.suppliers, d.supplier_sites, d.profile_extract, d.site_extract, d.audit_events, "changed").select("id", "import_action")
+
+
+@add("H61_import_action", "SELECT id, 'CREATE' AS import_action FROM judged WHERE NOT known OR new_site", _SCOPE_TABLES, _SCOPE)
+def h61(d: Domain):
+    return ed.in_scope(d.suppliers, d.supplier_sites, d.profile_extract, d.site_extract, d.audit_events, "new").select("id", "import_action")
 
 
 @add("D07_overlay_report", """SELECT s.id, 'name' AS field, p.supplier_name AS source_value, trim(s.name) AS package_value FROM suppliers s JOIN firsts p ON p.vid = s.id WHERE p.supplier_name <> trim(s.name)
@@ -159,7 +175,7 @@ def s03(d: Domain):
     return landing.pick_files(d.order_facts.selectExpr("'INV/inv_header_' || ks || '.csv' AS key"))
 
 
-@add("S04_statement_plan", """SELECT key, 'OCI-' || substr(sha1(key), 1, 12) AS statement_id, CASE WHEN k % 5 = 0 THEN 'skipped' WHEN k % 7 = 0 THEN 'error' ELSE 'take' END AS outcome FROM f""", ("order_facts",),
+@add("S04_statement_plan", """SELECT key, 'OCI-' || sha1(key) AS statement_id, CASE WHEN k % 5 = 0 THEN 'skipped' WHEN k % 7 = 0 THEN 'error' ELSE 'take' END AS outcome FROM f""", ("order_facts",),
      "f AS (SELECT k, 'bank/' || CASE WHEN k % 7 = 0 THEN 'NOPE' ELSE 'ACC-' || CAST(nation_key AS VARCHAR) END || '/' || ks || '.csv' AS key FROM order_facts)")
 def s04(d: Domain):
     f = d.order_facts.selectExpr("k", "'bank/' || CASE WHEN k % 7 = 0 THEN 'NOPE' ELSE 'ACC-' || CAST(nation_key AS STRING) END || '/' || ks || '.csv' AS key")

@@ -262,10 +262,10 @@ def j10(d: Domain):
 
 @add("W09_supplier_header", """SELECT supplier_id AS id, max(number) AS supplier_number, coalesce(arg_min(nm, row_number) FILTER (nm <> ''), '') AS name, coalesce(max(p_type), '') AS type, CASE WHEN coalesce(max(p_inactive), '') = '' THEN 'active' ELSE 'inactive' END AS status,
   coalesce(arg_min(vt, row_number) FILTER (vt <> ''), max(back), '') AS supplier_vat FROM (
-    SELECT j.*, coalesce(nullif(p_name, ''), supplier_name) AS nm, coalesce(sv, nullif(p_reg, ''), p_payer) AS vt, CASE WHEN bi.vid IS NOT NULL THEN bi.sv ELSE bn.sv END AS back
+    SELECT j.*, coalesce(nullif(p_name, ''), supplier_name) AS nm, coalesce(j.sv, nullif(p_reg, ''), p_payer) AS vt, CASE WHEN bi.vid IS NOT NULL THEN bi.sv ELSE bn.sv END AS back
     FROM joined j LEFT JOIN bi ON bi.vid = j.supplier_id LEFT JOIN bn ON bn.supplier_number = j.number) GROUP BY 1""", EXTRACTS, EXTRACT_CTES + """,
 bi AS (SELECT vid, arg_min(supplier_vat, row_number) FILTER (supplier_vat <> '') AS sv FROM vat_extract WHERE vid <> '' GROUP BY 1),
-bn AS (SELECT supplier_number, arg_min(supplier_vat, row_number) FILTER (supplier_vat <> '') AS sv FROM vat_extract GROUP BY 1)""".replace("SELECT j.*, coalesce", "SELECT j.*, coalesce"))
+bn AS (SELECT supplier_number, arg_min(supplier_vat, row_number) FILTER (supplier_vat <> '') AS sv FROM vat_extract GROUP BY 1)""")
 def w09(d: Domain):
     suppliers, _ = sup.map_extracts(d.profile_extract, d.site_extract, d.address_extract, d.vat_extract)
     return suppliers.select("id", "supplier_number", "name", "type", "status", "supplier_vat")

@@ -14,7 +14,7 @@ from ..functions.money import csv_amount, strip
 
 BLOCK = ["file_path", "block_start"]
 # Fixed pattern: one CSV cell after its comma; quotes protect commas and line ends.
-CELL = r',((?:"[^"]*+"|[^,"]++)*+)'
+CELL = r',((?:"[^"]*+(?:"|$)|[^,"]++)*+)'
 
 # Header spellings of bank files, in order of preference.
 SYNONYMS = {
@@ -49,21 +49,39 @@ def text_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def cells(record: Column) -> Column:
+    """Cells of a row: a quote anywhere switches protection on or off, a doubled one inside stands for one."""
     found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(CELL))
-    return F.transform(found, lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r'(?s)^\s*"(.*)"\s*$', "$1"), '""', '"')))
+    return F.transform(found, lambda c: strip(F.regexp_replace(F.regexp_replace(c, r'"((?:[^"]|"")*+)(?:"|$)', "$1"), '""', '"')))
 
 
-def csv_records(spark: SparkSession, *paths: str) -> DataFrame:
-    """``file_path, row_number, data_index, record``: non-blank rows keyed by lower-case header.
-
-    ``row_number`` is the physical row (header is 1, blank rows count);
-    ``data_index`` counts the data rows kept.
-    """
+def _numbered(spark: SparkSession, paths: tuple[str, ...], only: DataFrame | None, key: Column | None) -> DataFrame:
+    """Lines with the row that each belongs to, whether it goes on a row, and whether its row never closes its quote."""
     lines = text_lines(spark, *paths)
+    if only is not None:
+        lines = lines.withColumn("key", key).join(only.distinct(), "key", "left_semi").drop("key")
     odd = F.length(F.regexp_replace("line", '[^"]', "")) % 2
     quoted = running_total(lines.withColumn("_odd", odd), F.col("_odd"), "_quotes", inclusive=False)
     quoted = quoted.withColumn("_goes_on", (F.col("_quotes") % 2).cast("int")).drop("_quotes")
     starts = running_total(quoted, 1 - F.col("_goes_on"), "row_number")
+    open_rows = starts.groupBy("file_path").agg(F.sum("_odd").alias("_all"), F.max("row_number").alias("_last")).filter("_all % 2 = 1")
+    starts = starts.join(open_rows.select("file_path", "_last"), "file_path", "left")
+    return starts.withColumn("_open", F.coalesce(F.col("row_number") == F.col("_last"), F.lit(False))).drop("_last")
+
+
+def open_quotes(spark: SparkSession, *paths: str, only: DataFrame | None = None, key: Column | None = None) -> DataFrame:
+    """``file_path, row_number, error`` of rows that reach the end of their file inside quotes; :func:`csv_records` leaves them out."""
+    starts = _numbered(spark, paths, only, key).filter("_open AND _goes_on = 0")
+    return starts.select("file_path", F.col("row_number").cast("bigint"), F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": a quote is not closed")).alias("error"))
+
+
+def csv_records(spark: SparkSession, *paths: str, only: DataFrame | None = None, key: Column | None = None) -> DataFrame:
+    """``file_path, row_number, data_index, record``: non-blank rows keyed by lower-case header.
+
+    ``row_number`` is the physical row (header is 1, blank rows count); ``data_index`` counts the data rows kept.
+    ``only`` (``key``) keeps the files whose ``key`` expression over ``file_path`` is listed there. A row whose quote is
+    never closed would hold the rest of its file; it is left out, see :func:`open_quotes`.
+    """
+    starts = _numbered(spark, paths, only, key).filter("NOT _open")
     single = (F.col("_goes_on") == 0) & (F.col("_odd") == 0)
     rows = starts.filter(single).select(*BLOCK, "_id", "row_number", F.col("line").alias("text"))
     joined = (

@@ -37,7 +37,8 @@ def pick_files(files: DataFrame, roles: dict[str, tuple[str, ...]] = ROLE_PATTER
 
 
 def statement_id(key: Column) -> Column:
-    return F.concat(F.lit("OCI-"), F.substring(F.sha1(key), 1, 12))
+    """Id of a statement file: its key's whole digest, so that no two files meet at any number of files."""
+    return F.concat(F.lit("OCI-"), F.sha1(key))
 
 
 def plan_statements(files: DataFrame, prefix: str, accounts: DataFrame, known_keys: DataFrame) -> DataFrame:
@@ -57,19 +58,20 @@ def plan_statements(files: DataFrame, prefix: str, accounts: DataFrame, known_ke
 
 
 def ingest_statements(spark: SparkSession, root: str, plan: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Statements, lines and errors of the files a plan takes; ``key`` is relative to ``root``."""
+    """Statements, lines and errors of the files a plan takes; ``key`` is relative to ``root``. Other files' lines are dropped before they are numbered."""
     taken = plan.filter("outcome = 'take'")
     key = F.regexp_replace("file_path", r"^.*?" + root.strip("/").replace(".", r"\.") + "/", "")
-    records = csv.csv_records(spark, root).withColumn("key", key).join(taken, "key")
+    records = csv.csv_records(spark, root, only=taken.select("key"), key=key).withColumn("key", key).join(taken, "key")
     rows = csv.bank_rows(records, F.col("account_currency"))
     lines = csv.good(rows)
     rolled = lines.groupBy("statement_id").agg(F.min("date").alias("period_start"), F.max("date").alias("period_end"), F.count(F.lit(1)).alias("transaction_count"))
     statements = taken.join(rolled, "statement_id").select(
         F.col("statement_id").alias("id"), "account_id", "file_name", F.lit("oci").alias("source"), "period_start", "period_end", "transaction_count", F.col("key").alias("storage_key"))
+    open_rows = csv.open_quotes(spark, root, only=taken.select("key"), key=key).select(key.alias("key"), "error")
     first_bad = csv.bad(rows).groupBy("statement_id").agg(F.min_by("error", "data_index").alias("error"))
     empty = taken.join(rolled, "statement_id", "left_anti").join(first_bad, "statement_id", "left")
     errors = empty.select("key", F.coalesce("error", F.lit("no transactions parsed")).alias("error")).unionByName(
-        plan.filter("outcome = 'error'").select("key", F.col("reason").alias("error")))
+        plan.filter("outcome = 'error'").select("key", F.col("reason").alias("error"))).unionByName(open_rows)
     return statements, lines, errors
 
 
@@ -104,5 +106,6 @@ def safe_name(name: Column | str) -> Column:
 
 
 def without_samples(sample: DataFrame, real: DataFrame, gate: DataFrame) -> DataFrame:
-    """Samples count only while ``gate`` (one row, ``has_real``) says there is nothing real."""
+    """Samples count only while ``gate`` (``has_real``, reduced to one row) says there is nothing real."""
+    gate = gate.agg(F.coalesce(F.bool_or("has_real"), F.lit(False)).alias("has_real"))
     return sample.join(F.broadcast(gate.filter("not has_real")), how="left_semi", on=F.lit(True)).unionByName(real)

@@ -29,23 +29,30 @@ def run_available(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame
     query.awaitTermination()
 
 
-def append_new(table: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer that keeps one row per ``key`` across all batches.
+def append_new(table: str, key: str, order: str = "key", shards: int = 64) -> Callable[[DataFrame, int], None]:
+    """Batch writer that keeps one row per ``key`` across all batches: of one batch the first by ``order``.
 
-    Rows go under the batch's own partition and the batch compares itself with
-    the other partitions, so a batch that is run again overwrites its own output
-    and ends in the same state.
+    Rows go under the batch's own partition and the batch compares itself with the other partitions, so a batch that
+    is run again overwrites its own output and ends in the same state. Inside a batch rows lie by a hash of the key
+    in ``shards`` folders, and only the shards that the batch touches are read again.
     """
+    shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*[c for c in batch.columns if c != key]), F.col("key")).alias("r")).select(key, "r.*")
+        rest = [c for c in batch.columns if c != key]
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("r")).select(key, "r.*").withColumn("shard", shard)
+        fields = [*batch.schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("shard", T.IntegerType())]
         try:
-            stored = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(table)
-            first = first.join(stored.filter(F.col("batch_id") != batch_id).select(key), key, "left_anti")
-        except AnalysisException:  # first batch: the table does not exist yet
-            pass
-        first.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+            stored = spark.read.schema(T.StructType(fields)).parquet(table)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            touched = [r["shard"] for r in first.select("shard").distinct().collect()]  # at most ``shards`` numbers
+            stored = stored.filter((F.col("batch_id") != batch_id) & F.col("shard").isin(touched))
+            first = first.join(stored.select("shard", key), ["shard", key], "left_anti")
+        first.write.mode("overwrite").partitionBy("shard").parquet(f"{table}/batch_id={batch_id}")
 
     return write
 
@@ -54,5 +61,6 @@ def refresh_positions(accounts: DataFrame, transactions: DataFrame, touched: Dat
     """Recompute the positions of the currencies an ingest touched and overwrite only those partitions."""
     wanted = accounts.join(touched.select(F.col("account_id").alias("id")).distinct(), "id", "left_semi").select("currency").distinct()
     some = accounts.join(wanted, "currency", "left_semi")
-    positions = currency_positions(account_positions(some, transactions))
+    theirs = transactions.join(some.select(F.col("id").alias("account_id")), "account_id", "left_semi")
+    positions = currency_positions(account_positions(some, theirs))
     positions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("currency").parquet(target)
