@@ -61,30 +61,39 @@ def names_loosely_match(a: Column | str, b: Column | str) -> Column:
     return loosely_match(normalise_party(a), normalise_party(b))
 
 
-def _grams(text: Column, tag: str) -> Column:
+def _grams(text: Column) -> Column:
     n = F.length(text) - (PREFIX_LEN - 1)
     starts = F.when(n >= 1, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(F.lit(tag), F.substring(text, i, F.lit(PREFIX_LEN))))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(PREFIX_LEN))))
 
 
-def _head(text: Column, tag: str) -> Column:
-    return F.when(F.length(text) >= PREFIX_LEN, F.array(F.concat(F.lit(tag), F.substring(text, 1, PREFIX_LEN)))).otherwise(
-        F.array().cast("array<string>")
-    )
+# Every generic word between blanks; two blanks in a row never stand in a normalised name.
+_GENERIC_TEXT = " " + "  ".join(GENERIC_WORDS) + " "
+
+
+def _telling_gram(text: Column) -> Column:
+    """One gram that stands for the whole name: if possible none that lies in a generic word."""
+    ranked = F.transform(_grams(text), lambda g: F.struct(F.contains(F.lit(_GENERIC_TEXT), g).alias("generic"), F.xxhash64(g).alias("at"), g.alias("gram")))
+    best = F.array_min(ranked)["gram"]
+    return F.when(best.isNotNull(), F.array(best)).otherwise(F.array().cast("array<string>"))
+
+
+def _tagged(keys: Column, tag: str) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(tag), k))
 
 
 def block_keys(normal: Column, name_side: bool) -> Column:
     """Keys such that any two names that loosely match share at least one.
 
-    Word keys cover equal words and shared prefixes; the gram keys cover a name
-    that starts inside a word of the other.
+    Distinctive words cover equal words and shared prefixes. A name that is one short word, generic or not, meets the
+    names that hold that word. For containment the inner name gives one telling gram and the outer one all its grams.
+    Generic words alone bring no two names together.
     """
-    words = F.transform(
-        F.filter(F.split(normal, " "), lambda w: F.length(w) >= 4),
-        lambda w: F.concat(F.lit("w:"), F.substring(w, 1, PREFIX_LEN)),
-    )
-    if name_side:
-        extra = F.concat(_head(normal, "n:"), _grams(normal, "t:"))
-    else:
-        extra = F.concat(_grams(normal, "n:"), _head(normal, "t:"))
-    return F.array_distinct(F.concat(words, extra))
+    words = F.split(normal, " ")
+    short = F.filter(words, lambda w: F.length(w).between(4, 5))
+    alone = F.when(F.length(normal).between(4, 5) & ~normal.contains(" "), F.array(normal)).otherwise(F.array().cast("array<string>"))
+    own, other = ("n", "t") if name_side else ("t", "n")
+    return F.array_distinct(F.concat(
+        F.transform(distinctive_words(normal), lambda w: F.concat(F.lit("w:"), F.substring(w, 1, PREFIX_LEN))),
+        _tagged(alone, f"{own}s:"), _tagged(short, f"{other}s:"), _tagged(_telling_gram(normal), f"{own}g:"), _tagged(_grams(normal), f"{other}g:"),
+    ))

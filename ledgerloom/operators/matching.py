@@ -178,15 +178,15 @@ def distinct_names(docs: DataFrame) -> DataFrame:
     )
 
 
-def name_lists(names: DataFrame) -> DataFrame:
+def name_lists(names: DataFrame, listed: int = LISTED_NAMES) -> DataFrame:
     """Per amount class the names as an array; one element more than the limit marks a crowded class."""
     value = F.struct("norm_name", "n", "doc")
-    return first_k(names, list(AMOUNT_CLASS), [F.col("norm_name")], value, LISTED_NAMES + 1, "names")
+    return first_k(names, list(AMOUNT_CLASS), [F.col("norm_name")], value, listed + 1, "names")
 
 
-def listed_name_hits(context: DataFrame) -> DataFrame:
+def listed_name_hits(context: DataFrame, listed: int = LISTED_NAMES) -> DataFrame:
     """Adds ``named_n`` and ``named_doc`` where the class lists all its names."""
-    text_words = F.when(F.size("names").between(1, LISTED_NAMES), distinctive_words(F.col("party_text")))
+    text_words = F.when(F.size("names").between(1, listed), distinctive_words(F.col("party_text")))
     fits = F.filter("names", lambda m: loosely_match(m["norm_name"], F.col("party_text"), F.col("_text_words")))
     return (
         context.withColumn("_text_words", text_words)
@@ -197,18 +197,22 @@ def listed_name_hits(context: DataFrame) -> DataFrame:
     )
 
 
-def crowded_name_hits(context: DataFrame, names: DataFrame) -> DataFrame:
-    """Name hits for lines in classes with many names: only pairs that share a blocking key meet."""
+def crowded_pairs(context: DataFrame, names: DataFrame, listed: int = LISTED_NAMES) -> DataFrame:
+    """``(transaction_id, norm_name, party_text, n, doc)`` of lines and names in crowded classes that share a blocking key."""
     probe = (
-        context.filter((F.size("names") > LISTED_NAMES) & (F.col("party_text") != ""))
+        context.filter((F.size("names") > listed) & (F.col("party_text") != ""))
         .select("transaction_id", *AMOUNT_CLASS, "party_text", F.explode(block_keys(F.col("party_text"), False)).alias("key"))
     )
-    crowded = context.filter(F.size("names") > LISTED_NAMES).select(*AMOUNT_CLASS).distinct()
+    crowded = context.filter(F.size("names") > listed).select(*AMOUNT_CLASS).distinct()
     keyed = names.join(crowded, list(AMOUNT_CLASS), "left_semi").withColumn("key", F.explode(block_keys(F.col("norm_name"), True)))
-    pairs = probe.join(keyed, [*AMOUNT_CLASS, "key"]).groupBy("transaction_id", "norm_name").agg(
+    return probe.join(keyed, [*AMOUNT_CLASS, "key"]).groupBy("transaction_id", "norm_name").agg(
         F.first("party_text").alias("party_text"), F.first("n").alias("n"), F.first("doc").alias("doc")
     )
-    fitting = pairs.filter(loosely_match(F.col("norm_name"), F.col("party_text")))
+
+
+def crowded_name_hits(context: DataFrame, names: DataFrame, listed: int = LISTED_NAMES) -> DataFrame:
+    """Name hits for lines in classes with many names: only pairs that share a blocking key meet."""
+    fitting = crowded_pairs(context, names, listed).filter(loosely_match(F.col("norm_name"), F.col("party_text")))
     return fitting.groupBy("transaction_id").agg(F.sum("n").alias("crowd_n"), F.min("doc").alias("crowd_doc"))
 
 

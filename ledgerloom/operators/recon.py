@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import (
-    AMOUNT_CLASS, amount_classes, bank_lines, crowded_name_hits, distinct_names, documents, listed_name_hits, name_lists,
+    AMOUNT_CLASS, HOT_REFERENCE_DOCS, LISTED_NAMES, amount_classes, bank_lines, crowded_name_hits, distinct_names, documents, listed_name_hits, name_lists,
     reference_hits,
 )
 
@@ -19,18 +19,23 @@ RESULT_COLUMNS = (
 HIT_COLUMNS = ("id_n", "po_n", "ref_n", "rem_n", "named_n", "com_n")
 
 
-def line_context(transactions: DataFrame, sales_orders: DataFrame, purchase_orders: DataFrame, remittances: DataFrame) -> DataFrame:
-    """Each bank line with its hit counts and the single documents behind them."""
+def line_context(
+    transactions: DataFrame, sales_orders: DataFrame, purchase_orders: DataFrame, remittances: DataFrame, hot_docs: int = HOT_REFERENCE_DOCS, listed_names: int = LISTED_NAMES,
+) -> DataFrame:
+    """Each bank line with its hit counts and the single documents behind them.
+
+    ``hot_docs`` and ``listed_names`` choose between two plans with the same result; see :mod:`matching`.
+    """
     lines = bank_lines(transactions)
     docs = documents(sales_orders, purchase_orders, remittances)
     names = distinct_names(docs)
     klass = list(AMOUNT_CLASS)
-    classes = amount_classes(docs).withColumnRenamed("amount", "abs_amount").join(name_lists(names), klass, "left")
+    classes = amount_classes(docs).withColumnRenamed("amount", "abs_amount").join(name_lists(names, listed_names), klass, "left")
     with_amounts = lines.join(classes, klass, "left")
-    crowd = crowded_name_hits(with_amounts, names)
+    crowd = crowded_name_hits(with_amounts, names, listed_names)
     out = (
-        listed_name_hits(with_amounts)
-        .join(reference_hits(lines, docs), "transaction_id", "left")
+        listed_name_hits(with_amounts, listed_names)
+        .join(reference_hits(lines, docs, hot_docs), "transaction_id", "left")
         .join(crowd, "transaction_id", "left")
         .withColumns({"named_n": F.coalesce("crowd_n", "named_n"), "named_doc": F.coalesce("crowd_doc", "named_doc")})
         .drop("names", "crowd_n", "crowd_doc")

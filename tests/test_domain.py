@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import doc_text, money, names, text
 from ledgerloom.functions.vat import with_vat_assessment
-from ledgerloom.operators import anomalies, cash, forecast, recon
+from ledgerloom.operators import anomalies, cash, forecast, matching, recon
 from ledgerloom.operators.ranking import distributed_row_number
 from ledgerloom.operators.suppliers import unique_ids
 
@@ -100,3 +100,28 @@ def test_vat_statuses(spark):
     cases = [("", "NL", "missing"), ("NL123", "NL", "invalid_format"), ("DE123456789", "FR", "country_mismatch"), ("123456789", "DE", "missing_prefix"), ("DE 123456789", "DE", "ok"), ("BE0000000001", "BE", "checksum_failed")]
     df = with_vat_assessment(spark.createDataFrame(cases, "v string, c string, want string"), "v", "c", "a")
     assert all(r.want == r.status for r in df.select("want", "a.status").collect())
+
+
+def crowd(n):
+    lines = [txn(f"t{i}", 500, None, f"FASTER PAYMENT TRANSFER {i}") for i in range(n)] + [txn("x", 500, None, "paid by NORTHGATE MILLS 17"), txn("y", 500, None, "pay BANK now"), txn("z", 500, "INV00077")]
+    rems = [(f"R{i}", "customer", f"PAYMENT CO {i}", "r", 500, ("INV00077",)) for i in range(n)]
+    rems += [("RN", "customer", "Northgate Mills Ltd", "r", 500, ()), ("RB", "customer", "Bank", "r", 500, ())]
+    return lines, (), [("AP-1", "v", 50, "V12345", ())], rems
+
+
+def test_switches_do_not_change_results(spark):
+    frames = tables(spark, *crowd(40))
+    read = lambda hot, listed: sorted(map(str, recon.line_context(*frames, hot_docs=hot, listed_names=listed).select("transaction_id", *recon.HIT_COLUMNS, "named_doc", "ref_doc").collect()))
+    want = read(32, 16)
+    assert want == read(0, 0) == read(10**9, 10**9)
+    named = {r.transaction_id: r.named_n for r in recon.line_context(*frames).select("transaction_id", "named_n").collect()}
+    assert (named["x"], named["y"], named["t1"]) == (1, 1, 0)
+
+
+def test_generic_words_bring_no_pairs_together(spark):
+    lines, sos, pos, rems = crowd(300)
+    t, s, p, r = tables(spark, lines[:300], sos, pos, rems[:300])
+    docs = matching.documents(s, p, r)
+    names = matching.distinct_names(docs)
+    context = matching.bank_lines(t).join(matching.name_lists(names), list(matching.AMOUNT_CLASS), "left")
+    assert matching.crowded_pairs(context, names).count() < 0.01 * 300 * 300
