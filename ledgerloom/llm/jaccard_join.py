@@ -75,8 +75,9 @@ class PartEnum:
     """Bands and signatures for a threshold in whole per cent."""
 
     percent: int = 85
-    parts: int = 2
+    parts: int = 3
     differ: int = 1
+    thin: int = 2
 
     def __post_init__(self):
         if not 0 < self.percent <= 100 or not 0 < self.differ < self.parts:
@@ -106,10 +107,11 @@ class PartEnum:
 
     @lru_cache(maxsize=None)  # noqa: B019
     def layout(self, band: int) -> tuple[int, int]:
-        """(first-level partitions, spare ones of them). Spares let sets do without empty projections, which many would share."""
+        """(first-level partitions, spare ones of them). Spares let sets do without thin projections, which many would share."""
         k = self.distance(2 * self.tops()[band])
-        spare = 0 if k < 2 else 1 if k < 8 else 2
-        return k // (self.differ + 1) + 1 + spare, spare
+        n1 = k // (self.differ + 1) + 1
+        spare = 0 if k < 2 else 1 if k < 8 else 2 + n1 // 20
+        return n1 + spare, spare
 
     def signatures(self, values: np.ndarray) -> np.ndarray:
         """The set's signatures as int64, the band in the top bits."""
@@ -117,15 +119,14 @@ class PartEnum:
         for band in self.bands(len(values)):
             n1, spare = self.layout(band)
             part = (mix(values ^ _U(band * 0x51ED2701)) % _U(n1 * self.parts)).astype(np.int64)
-            cells, full = np.zeros(n1 * self.parts, _U), np.zeros(n1 * self.parts, bool)
+            cells = np.zeros(n1 * self.parts, _U)
             np.add.at(cells, part, marks)
-            full[part] = True
-            cells, full = cells.reshape(n1, self.parts), full.reshape(n1, self.parts)
+            cells, held = cells.reshape(n1, self.parts), np.bincount(part, minlength=n1 * self.parts).reshape(n1, self.parts)
             subsets = [list(s) for s in combinations(range(self.parts), self.parts - self.differ)]
-            filled = np.stack([full[:, s].any(axis=1) for s in subsets])
+            filled = np.stack([held[:, s].sum(axis=1) >= self.thin for s in subsets])
             numbers = np.arange(n1, dtype=_U) * _U(64)
             signed = np.stack([mix(mix(cells[:, s].sum(axis=1, dtype=_U)) + numbers + _U(i)) for i, s in enumerate(subsets)])
-            # with no more bad partitions than spares, some partition without an empty projection agrees with any linked set
+            # with no more bad partitions than spares, some partition without a thin projection agrees with any linked set
             wanted = filled if np.count_nonzero(~filled.all(axis=0)) <= spare else np.ones_like(filled)
             made.append((signed[wanted] >> _U(64 - TAG_SHIFT)) | _U(band << TAG_SHIFT))
         return np.concatenate(made).view(np.int64)
@@ -133,11 +134,14 @@ class PartEnum:
     def sketch(self, values: np.ndarray, band: int) -> bytes:
         """Parities of the set's elements by hash: two sets' sketches differ in at most as many bits as the sets in elements."""
         bits = 256
-        while bits < 8 * self.distance(2 * self.tops()[band]):
+        while bits < 4 * self.distance(2 * self.tops()[band]):
             bits *= 2
         return np.packbits(np.bincount((mix(values + _U(77)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+_SKETCHES = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))
+
+
 def _texts(batches, at: int):
     for batch in batches:
         for start in range(0, batch.num_rows, CHUNK):
@@ -145,20 +149,23 @@ def _texts(batches, at: int):
             yield part, part.column(at).to_pylist()
 
 
-def _sets(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest, set) of each row; set is the digest's first half."""
+def _sets(df: DataFrame, scheme: PartEnum, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, n_shingles, digest, set, sketches) of each row; set is the digest's first half, a sketch some hundred bytes."""
 
     def run(batches):
         for part, texts in _texts(batches, 1):
             made = [shingles(t, words) for t in texts]
             keys = [digest(m) for m in made]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(map(len, made), pa.int64()), pa.array(keys, pa.binary()), pa.array(map(set_id, keys), pa.int64())],
-                names=["doc", "n_shingles", "digest", "set"],
+                [
+                    part.column(0), pa.array(map(len, made), pa.int64()), pa.array(keys, pa.binary()), pa.array(map(set_id, keys), pa.int64()),
+                    pa.array([[{"band": t, "bits": scheme.sketch(m, t)} for t in scheme.bands(len(m))] for m in made], _SKETCHES),
+                ],
+                names=["doc", "n_shingles", "digest", "set", "sketches"],
             )
 
     slim = df.select(F.col(f"`{id_col}`").alias("doc"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc {type_of(df, id_col)}, n_shingles bigint, digest binary, set bigint")
+    return slim.mapInArrow(run, f"doc {type_of(df, id_col)}, n_shingles bigint, digest binary, `set` bigint, sketches array<struct<band:int,bits:binary>>")
 
 
 def _signature_rows(df: DataFrame, scheme: PartEnum, words: int, text_col: str) -> DataFrame:
@@ -240,8 +247,8 @@ def _groups(signed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "`group` bigint, band int, `set` bigint").distinct()
 
 
-def _member_sets(df: DataFrame, members: DataFrame, scheme: PartEnum, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, set, size, sketches, values) of the classes in `members` (node, set); values are the hashes as bytes."""
+def _values(df: DataFrame, members: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, set, values) of the classes in `members` (node, set): their whole sets, as bytes of the hashes."""
     few = members.select("node").distinct()
     if members.count() <= BROADCAST_ROWS:
         few = F.broadcast(few)
@@ -251,21 +258,16 @@ def _member_sets(df: DataFrame, members: DataFrame, scheme: PartEnum, words: int
         for part, texts in _texts(batches, 1):
             made = [shingles(t, words) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0), pa.array([set_id(digest(m)) for m in made], pa.int64()), pa.array(map(len, made), pa.int64()),
-                    pa.array([[{"band": t, "bits": scheme.sketch(m, t)} for t in scheme.bands(len(m))] for m in made], pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))),
-                    pa.array([m.tobytes() for m in made], pa.binary()),
-                ],
-                names=["node", "set", "size", "sketches", "values"],
+                [part.column(0), pa.array([set_id(digest(m)) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())], names=["node", "set", "values"],
             )
 
-    kind = type_of(df, id_col)
-    made = chosen.mapInArrow(run, f"node {kind}, `set` bigint, size bigint, sketches array<struct<band:int,bits:binary>>, `values` binary")
-    return materialise(made.join(members, ["node", "set"], "left_semi").dropDuplicates(["node", "set"]))
+    made = chosen.mapInArrow(run, f"node {type_of(df, id_col)}, `set` bigint, `values` binary")
+    return made.join(members, ["node", "set"], "left_semi").dropDuplicates(["node", "set"])
 
 
 def _blocks(groups: DataFrame, sketches: DataFrame) -> DataFrame:
     """(block, node, size, bits): the members of each group with their sketches, large groups as all pairs of smaller blocks."""
+    groups = materialise(groups)
     members = groups.join(sketches, ["set", "band"])
     large = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
     n = F.ceil(F.col("m") / (BLOCK // 2)).cast("int")
@@ -322,8 +324,11 @@ def _row_groups(batches, width: int):
         yield [held[1:]]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
-    """The pairs that are linked, by the whole sets."""
+def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, scheme: PartEnum, words: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs that are linked, by the whole sets; only texts that a pair names are made sets again."""
+    pairs, kind = materialise(pairs), type_of(df, id_col)
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _values(df, materialise(classes.select("node", "set").join(named, "node", "left_semi")), words, id_col, text_col)
     one = sets.select(F.col("node").alias("a"), F.col("values").alias("left"))
     two = sets.select(F.col("node").alias("b"), F.col("values").alias("right"))
 
@@ -341,7 +346,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, kind: str) ->
 
 
 def jaccard_components(
-    df: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", parts: int = 2, differ: int = 1,
+    df: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", parts: int = 3, differ: int = 1,
 ) -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of `df`.
 
@@ -352,18 +357,18 @@ def jaccard_components(
     columns are not read; an empty table gives an empty result.
     """
     scheme, kind = PartEnum(percent, parts, differ), type_of(df, id_col)
-    sets = materialise(_sets(df, words, id_col, text_col))
+    sets = materialise(_sets(df, scheme, words, id_col, text_col))
     classes = sets.where("n_shingles > 0 AND doc IS NOT NULL").groupBy("digest", "set").agg(F.min("doc").alias("node"))
-    groups = materialise(_groups(_signature_rows(df, scheme, words, text_col)))
-    members = materialise(classes.join(groups.select("set").distinct(), "set", "left_semi").select("node", "set"))
-    values = _member_sets(df, members, scheme, words, id_col, text_col)
-    sketches = values.select("node", "set", "size", F.explode("sketches").alias("s")).select("node", "set", "size", "s.band", "s.bits")
+    groups = _groups(_signature_rows(df, scheme, words, text_col))
+    sketches = sets.where("n_shingles > 0").dropDuplicates(["digest"]).select("digest", "set", F.col("n_shingles").alias("size"), F.explode("sketches").alias("s"))
+    sketches = sketches.join(classes.select("digest", "node"), "digest").select("node", "set", "size", "s.band", "s.bits")
     blocks = _blocks(groups, sketches)
 
-    first = _verified(_close_pairs(blocks, scheme, True, kind), values, scheme, kind)
+    check = lambda pairs: _verified(pairs, df, classes, scheme, words, id_col, text_col)
+    first = check(_close_pairs(blocks, scheme, True, kind))
     labels = connected_components(first)
     labelled = blocks.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = _verified(_close_pairs(labelled, scheme, False, kind), values, scheme, kind)
+    rest = check(_close_pairs(labelled, scheme, False, kind))
     if not rest.isEmpty():
         labels = connected_components(first.union(rest))
 
