@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomalies, cash, forecast, matching, recon
+from ..operators import anomalies, cash, explain, forecast, matching, recon
 from ..sources.adapters import Domain
 from .catalog import Catalog
 from .sqltext import RECON_CTES, RECON_NEEDS, norm_key, plain
@@ -164,6 +164,47 @@ def d01(d: Domain):
     return _reconcile(d).drop("approach")
 
 
+# Written out from the rules, not from the operator: what a line's fields, hits and verdict say.
+_EXPLAIN = """
+full_lines AS (SELECT r.*, b.description, b.narrative, b.reference, b.counterparty, b.customer_reference, b.bank_reference, b.line_number, CASE WHEN r.flow = 'O2C' THEN 'SO' ELSE 'PO' END AS k,
+    coalesce(nullif(trim(b.narrative), ''), trim(b.description), '') AS told,
+    coalesce(nullif(concat_ws(', ', CASE WHEN trim(b.reference) <> '' THEN 'reference' END, CASE WHEN trim(b.description) <> '' THEN 'description' END, CASE WHEN trim(b.narrative) <> '' THEN 'narrative' END,
+      CASE WHEN trim(b.customer_reference) <> '' THEN 'customerReference' END, CASE WHEN trim(b.bank_reference) <> '' THEN 'bankReference' END, CASE WHEN trim(b.counterparty) <> '' THEN 'counterparty' END), ''), 'bank text') AS fields
+  FROM recon r JOIN bank_transactions b ON b.id = r.transaction_id),
+com_count AS (SELECT 'O2C' AS flow, currency, count(*) AS n FROM sales_orders GROUP BY 2 UNION ALL SELECT 'P2P', currency, count(*) FROM purchase_orders GROUP BY 2),
+rem_count AS (SELECT CASE WHEN party = 'customer' THEN 'O2C' ELSE 'P2P' END AS flow, currency, count(*) AS n FROM remittances GROUP BY 1, 2),
+told AS (SELECT f.*, CASE WHEN id_n > 0 OR com_n > 0 OR (flow = 'P2P' AND po_n > 0) THEN 'yes' ELSE 'no' END AS com_found, CASE WHEN ref_n > 0 OR rem_n > 0 THEN 'yes' ELSE 'no' END AS rem_found,
+    format('{:,.2f}', CAST(amount_diff AS DOUBLE) / 100) || ' ' || currency AS diff FROM full_lines f)"""
+
+
+@add("D02_match_explanation", """SELECT t.transaction_id, told AS narrative, k || ' ' || t.currency || ' (' || coalesce(c.n, 0) || ' loaded) + remittance ' || CASE WHEN t.flow = 'O2C' THEN 'customer ' ELSE 'vendor ' END || t.currency || ' (' || coalesce(m.n, 0) || ' loaded)' AS target,
+  k || ' ' || com_found || ' · remittance ' || rem_found AS found,
+  CASE WHEN status = 'matched' THEN NULL WHEN status = 'partial' AND match_pattern = 'so_po_id' AND t.flow = 'O2C' THEN 'SO found by id; amount differs by ' || diff || '. Treat as partial collection, multi-invoice receipt, or FX. Confirm the remaining open amount on the SO.'
+    WHEN status = 'partial' AND match_pattern = 'so_po_id' THEN 'PO found by id; amount differs by ' || diff || '. Check partial payment, credit note, or invoice vs payment currency.'
+    WHEN status = 'partial' AND match_pattern = 'po_invoice_number' THEN 'PO/AP invoice found; amount differs by ' || diff || '. Check partial payment, credit note, or a different invoice on the same supplier.'
+    WHEN status = 'partial' AND match_pattern = 'remittance_invoice_ref' THEN 'Remittance found by invoice/payment ref; amount differs by ' || diff || '. Check split applications, short-pay, or bank charges on the remittance.'
+    WHEN ref_n > 1 THEN ref_n || ' remittances share this invoice/payment ref and the exact amount did not isolate one. Put the full invoice set on the bank line.'
+    WHEN rem_n > 1 AND named_n <> 1 THEN rem_n || ' remittances have this exact amount. Put the invoice number on the bank line, or add a counterparty alias.'
+    WHEN com_n > 1 THEN com_n || ' ' || k || 's share this exact amount (ambiguous). Put the ' || k || ' or invoice number on the bank line.'
+    WHEN id_n = 0 AND po_n = 0 AND ref_n = 0 AND rem_n = 0 AND com_n = 0 AND told <> '' THEN 'This narrative is not on a loaded remittance or ' || k || '. Load the missing remittance, or put the invoice number on the bank line.'
+    WHEN id_n = 0 AND po_n = 0 AND ref_n = 0 AND rem_n = 0 AND com_n = 0 THEN 'No remittance or ' || k || ' at this exact amount. Load the missing remittance, or classify as payroll/tax/internal.'
+    ELSE 'Put the invoice number on the bank line, or load the remittance that belongs to this payment.' END AS remediation,
+  fields AS source_fields FROM told t LEFT JOIN com_count c ON c.flow = t.flow AND c.currency = t.currency LEFT JOIN rem_count m ON m.flow = t.flow AND m.currency = t.currency""", RECON_NEEDS, RECON_CTES + "," + _EXPLAIN)
+def d02(d: Domain):
+    fields = F.regexp_extract("source", r"(?:.* from |no invoice token in )(.*?)\)?$", 1)
+    return _explained(d).select("transaction_id", "narrative", "target", "found", "remediation", fields.alias("source_fields"))
+
+
+def _explained(d: Domain):
+    decided = recon.decide(_context(d))
+    return explain.explain(decided, d.bank_transactions, explain.loaded(d.sales_orders, d.purchase_orders, d.remittances))
+
+
+@add("H57_matched_label", "SELECT transaction_id, CASE WHEN matched_id IS NULL THEN '—' WHEN matched_type = 'remittance' THEN 'Remittance ' || matched_id ELSE matched_type || ' ' || matched_id END AS matched_to FROM recon", RECON_NEEDS, RECON_CTES)
+def h57(d: Domain):
+    return _reconcile(d).select("transaction_id", explain.matched_label(F.col("matched_type"), F.col("matched_id")).alias("matched_to"))
+
+
 @add("J07_cascade_hits", "SELECT transaction_id, id_n, po_n, ref_n, rem_n, named_n, com_n FROM recon", RECON_NEEDS, RECON_CTES)
 def j07(d: Domain):
     return _context(d).select("transaction_id", *recon.HIT_COLUMNS)
