@@ -80,10 +80,10 @@ class Transducer:
     """Bytes of one pre-token in, token ids out as little-endian 32-bit integers.
 
     A state is kept as marshalled text of its hypotheses, an arrow under (number of its state, byte): some 500 bytes for
-    each state with its arrows, so the tables stay below some 150 MB. When full they are emptied and made anew as needed.
+    each state with its arrows, so the tables stay below some 200 MB. When full they are emptied and made anew as needed.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000, most_known: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000, most_known: int = 400_000):
         self.ranks, self.most_states, self.most_known = ranks, most_states, most_known
         self.packed = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
         self.tokens = sorted(ranks)
@@ -230,7 +230,7 @@ def codec(ranks_file: bytes, pattern: str):
 
         ranks = rank_table(ranks_file.splitlines())
         machine, split = Transducer(ranks), regex.compile(pattern).findall
-        packed = Memo(lambda piece: machine.encode(piece.encode()))
+        packed = Memo(lambda piece: machine.encode(piece.encode()), 200_000)
         _CODECS[key] = (lambda text: b"".join(map(packed.__getitem__, split(text)))), {i: t for t, i in ranks.items()}
     return _CODECS[key]
 
