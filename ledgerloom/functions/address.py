@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .money import text_or_empty
 
 # Country codes seen before a postcode, and postcode formats.
@@ -44,3 +45,28 @@ def assess_address(country: Column | str, line1: Column | str, city: Column | st
         _issue(stuffed, "missing_postal", "postalCode", "Postal code looks embedded in the city field.", in_city),
         _issue((bare != "") & ~expected, "postal_format", "postalCode", F.concat(F.lit("Postal code does not match the expected "), nation, F.lit(" format."))),
     ))
+
+
+# Postal codes looked for in a registered address, in order.
+REGISTERED_POSTAL = (r"(?i)\b(\d{4}\s*[A-Z]{2})\b", r"\b(\d{5})\b", r"\b(\d{2}\s*\d{3})\b")
+
+
+def split_registered(address: Column | str) -> Column:
+    """``street, postal_code, city`` of an address in one line, cut around its first postal code; all street without one."""
+
+    def parts(line: Column) -> Column:
+        code = F.coalesce(*(F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in REGISTERED_POSTAL), F.lit(""))
+
+        def around(c: Column) -> Column:
+            at = F.instr(F.upper(line), F.upper(c))
+            before = F.trim(F.regexp_replace(F.substring(line, F.lit(1), at - 1), r"[/.,]+$", ""))
+            after = F.trim(F.regexp_replace(F.substring(line, at + F.length(c), F.length(line)), r"^[/,\s]+", ""))
+            full = lambda v: F.nullif(v, F.lit(""))
+            return F.struct(
+                F.when(c == "", full(line)).otherwise(full(before)).alias("street"), full(F.trim(F.regexp_replace(c, r"\s+", " "))).alias("postal_code"),
+                F.when(c != "", full(after)).alias("city"),
+            )
+
+        return let(code, around)
+
+    return let(F.trim(F.regexp_replace(F.coalesce(address, F.lit("")) if not isinstance(address, str) else F.coalesce(F.col(address), F.lit("")), r"\s+", " ")), parts)

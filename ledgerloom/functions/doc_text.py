@@ -82,6 +82,12 @@ def detect_currency(text: Column | str) -> Column:
     return F.coalesce(out, *candidates, F.when(t.contains("$"), "AUD"))
 
 
+def currency_from_symbol(text: Column | str) -> Column:
+    """Currency of the first known sign, the dollar before the others; null without one."""
+    t = col(text)
+    return F.coalesce(F.when(t.contains("$"), "AUD"), *(F.when(t.contains(sign), code) for sign, code in SYMBOLS.items()))
+
+
 def document_date(c: Column | str) -> Column:
     """Four date layouts with a two-digit-year pivot at 70 and a range check."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cash_plans, document_plans, edit_plans, reference_plans, supplier_plans
+from . import cash_plans, document_plans, edit_plans, reference_plans, scalar_plans, supplier_plans
 from .catalog import Catalog
 
-CATALOG = Catalog().merge(cash_plans.CATALOG, reference_plans.CATALOG, supplier_plans.CATALOG, document_plans.CATALOG, edit_plans.CATALOG)
+CATALOG = Catalog().merge(cash_plans.CATALOG, reference_plans.CATALOG, supplier_plans.CATALOG, document_plans.CATALOG, edit_plans.CATALOG, scalar_plans.CATALOG)
