@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import doc_text as dt
@@ -83,7 +84,22 @@ def d09(d: Domain):
     return docs.invoice_fields(d.invoice_texts.select("doc_id", "file_name", "text")).select(*HEADER)
 
 
-@add("H45_invoice_status")
+_SCORED = rf"""
+marked AS (SELECT doc_id, text, lines, coalesce(list_position([contains(lower(x), 'description') AND regexp_matches(x, '{docs.ITEM_HEADER_COLUMNS}') FOR x IN lines], true), 0) AS head FROM lined),
+itemed AS (SELECT doc_id, len(lines) = 0 OR trim(text) = '' AS empty,
+    regexp_replace(nullif(regexp_extract(upper(regexp_replace(text, '\s+', '', 'g')), '{dt.IBAN}', 1), ''), '(BIC|SWIFT)$', '') AS iban,
+    len([x FOR x IN lines[head + 1:] IF NOT regexp_matches(x, '{docs.SKIP}') AND NOT regexp_matches(x, '{docs.SUBTOTAL}') AND NOT regexp_matches(x, '{docs.TOTAL}') AND NOT regexp_matches(x, '{docs.TAX}')
+      AND abs({_last('x')}) >= 1 AND NOT regexp_matches(x, '{docs.NOT_ITEMS}') AND length(trim(regexp_replace(x, '{docs.TRAILING_MONEY}', ''))) >= 3]) > 0 AS items FROM marked),
+scored AS (SELECT v.*, i.empty, coalesce(v.invoice_number, '') = '' AS no_number, v.total IS NULL AS no_total, coalesce(v.supplier_name, '') = '' AS no_name, coalesce(v.currency, '') = '' AS no_currency,
+    CASE WHEN i.empty THEN 0 ELSE least(100, CASE WHEN coalesce(v.invoice_number, '') <> '' THEN 20 ELSE 0 END + CASE WHEN v.invoice_date IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN coalesce(v.supplier_name, '') <> '' THEN 15 ELSE 0 END
+      + CASE WHEN v.total IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN v.due_date IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN v.tax_total IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN i.items THEN 12 ELSE 0 END + CASE WHEN length(i.iban) BETWEEN 15 AND 34 THEN 5 ELSE 0 END) END AS confidence
+  FROM inv v JOIN itemed i ON i.doc_id = v.doc_id),
+judged AS (SELECT *, CASE WHEN empty THEN 'No extractable text — document may be scanned or image-only.' ELSE concat_ws('|', CASE WHEN no_number AND no_total THEN 'Missing invoice number and totals.' WHEN no_number THEN 'Invoice number was not classified.' WHEN no_total THEN 'Totals were not classified.' END,
+      CASE WHEN no_name THEN 'Supplier name was not classified.' END, CASE WHEN no_currency THEN 'Currency was not classified.' END, CASE WHEN confidence < 40 THEN 'Parse confidence is below the review threshold.' END) END AS reasons FROM scored),
+stated AS (SELECT *, CASE WHEN empty OR (reasons <> '' AND (confidence < 55 OR no_number)) THEN 'anomaly' WHEN reasons <> '' OR confidence < 80 THEN 'partial' ELSE 'parsed' END AS status FROM judged)"""
+
+
+@add("H45_invoice_status", "SELECT doc_id, confidence, status, reasons, status <> 'parsed' AS needs_confirm, CASE WHEN status <> 'parsed' THEN 'anomaly' ELSE 'processed' END AS folder FROM stated", TEXTS, INVOICE_CTES + "," + _SCORED)
 def h45(d: Domain):
     return invoices(d).select("doc_id", "confidence", "status", F.array_join("reasons", "|").alias("reasons"), "needs_confirm", "folder")
 
@@ -93,17 +109,21 @@ def n04(d: Domain):
     return invoices(d).select("doc_id", F.explode_outer("line_items").alias("i")).filter("i is not null").select("doc_id", "i.*")
 
 
-@add("A12_document_summary", "SELECT f.folder, count(i.folder) AS documents, count(*) FILTER (i.status IN ('parsed', 'partial')) AS parsed, count(*) FILTER (i.folder = 'anomaly') AS needs_review FROM (SELECT unnest(['anomaly', 'archive', 'landing', 'processed']) AS folder) f LEFT JOIN i ON i.folder = f.folder GROUP BY 1", TEXTS,
-     "i AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'anomaly' WHEN 1 THEN 'processed' ELSE 'landing' END AS folder, CASE doc_id % 4 WHEN 0 THEN 'parsed' WHEN 1 THEN 'partial' ELSE 'failed' END AS status FROM invoice_texts)")
+_FOLDERS = "placed AS (SELECT *, CASE WHEN status <> 'parsed' THEN 'anomaly' ELSE 'processed' END AS folder FROM stated)"
+
+
+@add("A12_document_summary", """SELECT f.folder, count(i.folder) AS documents, count(*) FILTER (i.status IN ('parsed', 'partial')) AS parsed, count(*) FILTER (i.folder = 'anomaly') AS needs_review
+  FROM (SELECT unnest(['anomaly', 'archive', 'landing', 'processed']) AS folder) f LEFT JOIN placed i ON i.folder = f.folder GROUP BY 1""", TEXTS, INVOICE_CTES + "," + _SCORED + ",\n" + _FOLDERS)
 def a12(d: Domain):
-    i = d.invoice_texts.selectExpr("CASE doc_id % 3 WHEN 0 THEN 'anomaly' WHEN 1 THEN 'processed' ELSE 'landing' END AS folder", "CASE doc_id % 4 WHEN 0 THEN 'parsed' WHEN 1 THEN 'partial' ELSE 'failed' END AS status")
-    return docs.summary(i, ("anomaly", "archive", "landing", "processed"))
+    return docs.summary(invoices(d), ("anomaly", "archive", "landing", "processed"))
 
 
-@add("P06_documents_by_folder", "SELECT doc_id FROM i WHERE folder = 'anomaly'", TEXTS, "i AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'anomaly' ELSE 'processed' END AS folder FROM invoice_texts)")
+@add("P06_documents_by_folder", "SELECT p.doc_id, row_number() OVER (ORDER BY t.d DESC, p.doc_id) AS rank FROM placed p JOIN invoice_texts t ON t.doc_id = p.doc_id WHERE folder = 'anomaly' QUALIFY rank <= 500", TEXTS, INVOICE_CTES + "," + _SCORED + ",\n" + _FOLDERS)
 def p06(d: Domain):
-    i = d.invoice_texts.selectExpr("doc_id", "d", "CASE doc_id % 3 WHEN 0 THEN 'anomaly' ELSE 'processed' END AS folder")
-    return i.filter("folder = 'anomaly'").orderBy(F.desc("d"), "doc_id").select("doc_id")
+    """The newest 500 of a folder with their rank: a top-k list as a page shows it."""
+    placed = invoices(d).filter("folder = 'anomaly'").select("doc_id").join(d.invoice_texts.select("doc_id", "d"), "doc_id")
+    top = placed.orderBy(F.desc("d"), "doc_id").limit(500)
+    return top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("d"), "doc_id")).cast("bigint").alias("rank"))
 
 
 def _people(d: Domain):

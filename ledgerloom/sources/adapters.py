@@ -279,7 +279,7 @@ SELECT 'AUD-' || {_pad('event_id', 12)} AS id, CASE WHEN event_id % 3 = 0 THEN '
 FROM {{events}}
 """
 DOMAIN["vat_checks"] = f"""
-SELECT 'VAT-' || {_pad('event_id', 12)} AS id, {_s('user_id')} || '-' || {_s('1 + event_id % 2')} AS site_id, event_type AS validity, {_s('CAST(ts AS DATE)')} AS created_at FROM {{events}} WHERE event_id % 2 = 0
+SELECT 'VAT-' || {_pad('event_id', 12)} AS id, {_s('user_id')} || '-' || {_s('1 + event_id % 2')} AS site_id, event_type AS validity, {_s('CAST(ts AS DATE)')} AS created_at FROM {{events}}
 """
 
 
