@@ -1,6 +1,6 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets of similar size share a band, and a band fixes how many elements two linked sets of it can differ in (k). The
+Sets of similar size share a band; the band of the smaller of two linked sets fixes how many elements they can differ in (k). The
 feature domain is cut into n1 first-level partitions of n2 parts each. If two sets differ in at most k elements, some
 first-level partition has at most `differ` differences, so n2 - differ of its parts agree; the set's projections on
 all subsets of n2 - differ parts are its signatures, and one is shared.
@@ -34,7 +34,9 @@ from .rows import CHUNK, text_or_empty, type_of
 BLOCK = 2048
 #: Most rows of a broadcast list of ids; a longer one is joined by shuffle.
 BROADCAST_ROWS = 500_000
-TAG_SHIFT = 57
+#: Texts that are looked through for frequent shingles, texts of them that a frequent one is in, and the most of these kept.
+SAMPLE, FREQUENT, COMMON = 5_000, 8, 50_000
+TAG_SHIFT = 56
 _U = np.uint64
 
 
@@ -56,10 +58,13 @@ def shingles(text: str, words: int) -> np.ndarray:
     if len(found) < words:  # the whole sequence as one
         return np.array([xxhash.xxh3_64_intdigest(ids.tobytes(), seed=len(found))], _U)
     n = len(ids) - words + 1
-    made = np.zeros(n, _U)
-    for i in range(words):
-        made = mix(made * _U(31) + ids[i : i + n])
-    return np.unique(made)
+    made = ids[:n].copy()
+    for i in range(1, words):
+        made *= _U(0x9E3779B97F4A7C15)
+        made += ids[i : i + n]
+    made = mix(made)
+    made.sort()
+    return made[np.r_[True, made[1:] != made[:-1]]]
 
 
 def digest(values: np.ndarray) -> bytes:
@@ -92,51 +97,85 @@ class PartEnum:
 
     @lru_cache(maxsize=None)  # noqa: B019
     def tops(self) -> list[int]:
-        """Largest size of each band; a set links at most into the next band."""
-        tops, square = [1], self.percent**2
-        while tops[-1] < 1 << 31 and len(tops) < 126:
-            tops.append(max(tops[-1] + 1, (tops[-1] + 1) * 10_000 // square))
+        """Largest size of each band. A set links at most into its own band and the two beside it."""
+        tops = [1]
+        while tops[-1] < 1 << 31 and len(tops) < 254:
+            low = tops[-1] + 1
+            tops.append(max(low, low * 100 // self.percent, low * 112 // 100))
         return tops
 
     def bands(self, size: int) -> list[int]:
-        """The set's own band, and the next if a larger partner can lie there; none where only equal sets can link."""
+        """Bands that the smaller of two linked sets can lie in: the set's own, and the one below if a partner can be there.
+
+        None where only equal sets can link.
+        """
         tops = self.tops()
         own = bisect_left(tops, size)
-        both = [own, own + 1] if 100 * size >= self.percent * (tops[own] + 1) else [own]
-        return [t for t in both if self.distance(2 * tops[t])]
+        both = [own, own - 1] if own and self.percent * size <= 100 * tops[own - 1] else [own]
+        return [t for t in both if self.differences(t)]
+
+    def differences(self, band: int) -> int:
+        """Most differing elements (k) of two linked sets, the smaller of which lies in the band."""
+        top = self.tops()[band]
+        return self.distance(top + 100 * top // self.percent)
 
     @lru_cache(maxsize=None)  # noqa: B019
     def layout(self, band: int) -> tuple[int, int]:
         """(first-level partitions, spare ones of them). Spares let sets do without thin projections, which many would share."""
-        k = self.distance(2 * self.tops()[band])
+        k = self.differences(band)
         n1 = k // (self.differ + 1) + 1
-        spare = 0 if k < 2 else 1 if k < 8 else 2 + n1 // 20
+        spare = 0 if k < 2 else 1 if k < 8 else 3 + n1 // 12
         return n1 + spare, spare
 
-    def signatures(self, values: np.ndarray) -> np.ndarray:
-        """The set's signatures as int64, the band in the top bits."""
-        made, marks = [np.empty(0, _U)], mix(values + _U(0x9E3779B97F4A7C15))
+    def places(self, marks: np.ndarray, band: int, n: int) -> np.ndarray:
+        """Which of n parts of the domain each element lies in; another cut for each band."""
+        high = (marks * _U(2 * (band * 0x51ED2701 + 0x1B873593) + 1)) >> _U(32)
+        return ((high * _U(n)) >> _U(32)).astype(np.int64)
+
+    def projections(self, values: np.ndarray, band: int, channel: int, thin: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(signatures of all subsets, which of them hold `thin` elements or more, whether those suffice).
+
+        They suffice where no more first-level partitions have a thin projection than there are spare ones: then some
+        partition without any agrees with every linked set, and that set has the projection as well.
+        """
+        n1, spare = self.layout(band)
+        marks = mix(values + _U(0x9E3779B97F4A7C15))
+        part = self.places(marks, band, n1 * self.parts)
+        cells = np.zeros(n1 * self.parts, _U)
+        np.add.at(cells, part, marks)
+        cells, held = cells.reshape(n1, self.parts), np.bincount(part, minlength=n1 * self.parts).reshape(n1, self.parts)
+        # a projection is what a first-level partition holds without the parts left out
+        left_out = list(combinations(range(self.parts), self.differ))
+        without = lambda table: np.stack([table.sum(axis=1) - sum(table[:, q] for q in out) for out in left_out])
+        filled = without(held) >= thin
+        numbers = np.arange(n1, dtype=_U) * _U(64) + np.arange(len(left_out), dtype=_U)[:, None] + _U(channel << 48)
+        signed = (mix(mix(without(cells)) + numbers) >> _U(64 - TAG_SHIFT)) | _U(band << TAG_SHIFT)
+        return signed, filled, int(np.count_nonzero(~filled.all(axis=0))) <= spare
+
+    def signatures(self, values: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """The set's signatures as int64, the band in the top bits.
+
+        Elements in `common` (sorted) are left out at first: that brings no two sets further apart, and what many texts
+        share by chance no longer makes groups. A set of which too little is left is unsure; two unsure sets
+        meet by the signatures of their whole sets, an unsure and a sure one by those of the rest.
+        """
+        made = [np.empty(0, _U)]
+        rest = values
+        if common is not None and len(common):
+            rest = values[common[np.minimum(np.searchsorted(common, values), len(common) - 1)] != values]
         for band in self.bands(len(values)):
-            n1, spare = self.layout(band)
-            part = (mix(values ^ _U(band * 0x51ED2701)) % _U(n1 * self.parts)).astype(np.int64)
-            cells = np.zeros(n1 * self.parts, _U)
-            np.add.at(cells, part, marks)
-            cells, held = cells.reshape(n1, self.parts), np.bincount(part, minlength=n1 * self.parts).reshape(n1, self.parts)
-            subsets = [list(s) for s in combinations(range(self.parts), self.parts - self.differ)]
-            filled = np.stack([held[:, s].sum(axis=1) >= self.thin for s in subsets])
-            numbers = np.arange(n1, dtype=_U) * _U(64)
-            signed = np.stack([mix(mix(cells[:, s].sum(axis=1, dtype=_U)) + numbers + _U(i)) for i, s in enumerate(subsets)])
-            # with no more bad partitions than spares, some partition without a thin projection agrees with any linked set
-            wanted = filled if np.count_nonzero(~filled.all(axis=0)) <= spare else np.ones_like(filled)
-            made.append((signed[wanted] >> _U(64 - TAG_SHIFT)) | _U(band << TAG_SHIFT))
+            signed, filled, sure = self.projections(rest, band, 1, 1)
+            made.append(signed[filled])
+            if not sure:
+                signed, filled, enough = self.projections(values, band, 0, self.thin)
+                made.append(signed[filled] if enough else signed.ravel())
         return np.concatenate(made).view(np.int64)
 
     def sketch(self, values: np.ndarray, band: int) -> bytes:
         """Parities of the set's elements by hash: two sets' sketches differ in at most as many bits as the sets in elements."""
-        bits = 256
-        while bits < 4 * self.distance(2 * self.tops()[band]):
-            bits *= 2
-        return np.packbits(np.bincount((mix(values + _U(77)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+        bits = max(256, -(-4 * self.differences(band) // 64) * 64)
+        at = ((mix(values + _U(77)) >> _U(32)) * _U(bits)) >> _U(32)
+        return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1).tobytes()
 
 
 _SKETCHES = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))
@@ -168,8 +207,27 @@ def _sets(df: DataFrame, scheme: PartEnum, words: int, id_col: str, text_col: st
     return slim.mapInArrow(run, f"doc {type_of(df, id_col)}, n_shingles bigint, digest binary, `set` bigint, sketches array<struct<band:int,bits:binary>>")
 
 
-def _signature_rows(df: DataFrame, scheme: PartEnum, words: int, text_col: str) -> DataFrame:
+def common_shingles(df: DataFrame, words: int, id_col: str, text_col: str) -> np.ndarray:
+    """Sorted hashes of at most COMMON shingles that are frequent in about SAMPLE texts, taken by a hash of id and text.
+
+    They steer which groups are formed and never what is linked, so neither bound changes a result.
+    """
+    every = max(1, df.count() // SAMPLE)
+    point = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.substring(text_or_empty(text_col), 1, 64)), F.lit(every))
+
+    def run(batches):
+        for _, texts in _texts(batches, 0):
+            found, n = np.unique(np.concatenate([shingles(t, words) for t in texts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    counted = df.where(point == 0).select(text_or_empty(text_col).alias("text")).mapInArrow(run, "shingle bigint, n bigint")
+    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    return np.sort(np.array([r["shingle"] for r in top], np.int64).view(_U))
+
+
+def _signature_rows(df: DataFrame, scheme: PartEnum, words: int, text_col: str, common: np.ndarray) -> DataFrame:
     """(signature, set); a task passes over a set that it has just seen, so copies add little."""
+    shared = df.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
 
     def run(batches):
         seen: set[int] = set()
@@ -183,7 +241,7 @@ def _signature_rows(df: DataFrame, scheme: PartEnum, words: int, text_col: str)
                 if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(key)
-                made = scheme.signatures(values)
+                made = scheme.signatures(values, shared.value)
                 signed.append(made)
                 owners.append(np.full(len(made), key, np.int64))
             if signed:
@@ -267,14 +325,13 @@ def _values(df: DataFrame, members: DataFrame, words: int, id_col: str, text_col
 
 def _blocks(groups: DataFrame, sketches: DataFrame) -> DataFrame:
     """(block, node, size, bits): the members of each group with their sketches, large groups as all pairs of smaller blocks."""
-    groups = materialise(groups)
     members = groups.join(sketches, ["set", "band"])
     large = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
     n = F.ceil(F.col("m") / (BLOCK // 2)).cast("int")
     dealt = members.join(large, "group", "left").withColumn("n", F.coalesce(n, F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     block = F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other"))
-    return materialise(dealt.select(F.when(F.col("n") == 1, F.col("group")).otherwise(block).alias("block"), "node", "size", "bits"))
+    return dealt.select(F.when(F.col("n") == 1, F.col("group")).otherwise(block).alias("block"), "node", "size", "bits")
 
 
 def _close_pairs(blocks: DataFrame, scheme: PartEnum, nearest_only: bool, kind: str) -> DataFrame:
@@ -359,7 +416,7 @@ def jaccard_components(
     scheme, kind = PartEnum(percent, parts, differ), type_of(df, id_col)
     sets = materialise(_sets(df, scheme, words, id_col, text_col))
     classes = sets.where("n_shingles > 0 AND doc IS NOT NULL").groupBy("digest", "set").agg(F.min("doc").alias("node"))
-    groups = _groups(_signature_rows(df, scheme, words, text_col))
+    groups = materialise(_groups(_signature_rows(df, scheme, words, text_col, common_shingles(df, words, id_col, text_col))))
     sketches = sets.where("n_shingles > 0").dropDuplicates(["digest"]).select("digest", "set", F.col("n_shingles").alias("size"), F.explode("sketches").alias("s"))
     sketches = sketches.join(classes.select("digest", "node"), "digest").select("node", "set", "size", "s.band", "s.bits")
     blocks = _blocks(groups, sketches)
