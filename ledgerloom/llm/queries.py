@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, exact_dedup, jaccard_join, language_id, packing, pii, quality_model, quality_rules, token_counts
+from . import bpe_transducer, exact_dedup, jaccard_join, language_id, license_scan, packing, pii, quality_model, quality_rules, token_counts
 from .rows import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
