@@ -1,8 +1,8 @@
 """Licence scans by patience alignment.
 
 A text and a template are aligned on the words that occur once in each: of these anchors the longest increasing
-subsequence is kept, and the gaps between them are aligned in the same way. Coverage is the share of the template's words
-that find a place. Only stretches around two adjacent words of a template are looked at, so a long text costs its words.
+subsequence is kept, and the gaps between them are aligned in the same way. Coverage is the number of aligned words as a share
+of the template's words or, if they are more, of the words from the first aligned one to the last. Only stretches around two adjacent words of a template are looked at, so a long text costs its words.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
 }
-#: Share of a template's words from which it counts as found.
+#: Coverage from which a template counts as found.
 COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+")
 
@@ -110,9 +110,12 @@ class Scanner:
                 template = self.templates[name]
                 low = max(free[name], i - len(template))
                 found = align(words[low : i + len(template) + 1], template)
-                if len(found) >= self.coverage * len(template):
-                    first, last = low + found[0][0], low + found[-1][0]
-                    out.append((name, places[first][0], places[last][1], len(found) / len(template)))
+                if not found:
+                    continue
+                first, last = low + found[0][0], low + found[-1][0]
+                share = len(found) / max(len(template), last - first + 1)
+                if share >= self.coverage:
+                    out.append((name, places[first][0], places[last][1], share))
                     free[name] = last + 1
         return sorted(out, key=lambda f: (f[1], f[2], f[0]))
 
