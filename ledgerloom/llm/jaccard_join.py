@@ -251,7 +251,10 @@ def _signature_rows(df: DataFrame, scheme: PartEnum, words: int, text_col: str,
 
 
 def _runs(batches, names):
-    """Batches of rows sorted by the first column, cut so that a run of equal values stays together unless longer than BLOCK."""
+    """Batches of the different rows of sorted ones, cut so that a run of equal first values stays together unless longer than BLOCK.
+
+    Repeated rows go before a run is measured, so a run that is cut has more than BLOCK different rows, and the part that is given out BLOCK or more.
+    """
     held = None
     for batch in batches:
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
@@ -259,6 +262,8 @@ def _runs(batches, names):
             columns = [np.concatenate(x) for x in zip(held, columns)]
         if not len(columns[0]):
             continue
+        fresh = np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
+        columns = [c[fresh] for c in columns]
         start = int(np.searchsorted(columns[0], columns[0][-1], "left"))
         if len(columns[0]) - start > BLOCK:
             start = len(columns[0]) - 1  # all but one row of a long run go on
@@ -278,9 +283,6 @@ def _groups(signed: DataFrame) -> DataFrame:
     def run(batches):
         long_run = None
         for signature, owner in _runs(batches, ("signature", "set")):
-            first = np.r_[True, signature[1:] != signature[:-1]]
-            fresh = first | np.r_[True, owner[1:] != owner[:-1]]
-            signature, owner = signature[fresh], owner[fresh]
             begins = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
             lengths = np.diff(np.r_[begins, len(signature)])
             names = np.add.reduceat(mix(owner.view(_U)), begins)

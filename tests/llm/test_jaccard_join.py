@@ -90,6 +90,21 @@ def test_sketches_and_bands_lose_nothing():
             assert jj.np.bitwise_count(p ^ q).sum() <= len(x) + len(y) - 2 * common
 
 
+@pytest.mark.parametrize("n_sets", [30, 1500, 5000])
+def test_copies_seen_by_many_tasks_cut_no_group(spark, n_sets):
+    copies, size = 2 + 6000 // n_sets, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sets = spark.range(n_sets).selectExpr("7L AS signature", "id * 1000003 AS `set`")
+    signed = sets.crossJoin(spark.range(copies)).select("signature", "set").union(spark.range(50).selectExpr("id + 8 AS signature", "id AS `set`"))
+    before = spark.conf.get(size)
+    spark.conf.set(size, 100)
+    try:
+        got = jj._groups(signed).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert len({r["group"] for r in got}) == 1
+    assert sorted(r["set"] for r in got) == [i * 1000003 for i in range(n_sets)]
+
+
 def test_every_document(spark):
     from ledgerloom.llm.queries import QUERIES
 
