@@ -4,6 +4,9 @@ How much a term t reveals a kind k of entity is its pointwise mutual information
 what k itself would tell: log(N n(t,k) / (n(t) n(k))) / log(N / n(k)). It is 1 if t never stands without k. All counts
 are of documents: n(t,k) has t within a few words of an entity. A term over the first threshold is generalised, over the
 second removed, in documents that hold an entity of that kind and close to it; other documents are left alone.
+
+In the same way a term is judged against each single entity: with n(t,v) and n(v) for the value v of an address, card or number.
+A term that gives one value away does so wherever it stands, so it is replaced at every place of the corpus.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ NEAR, REACH = 5, 256
 GENERALISE, REMOVE = 0.8, 0.95
 #: Different surroundings of entities that a term must be met in before it counts; copies of one passage count once.
 SUPPORT = 10
+#: Documents that a term must be met in close to one and the same value; copies count, as one document is no evidence of a tie.
+VALUE_SUPPORT = 2
+#: Kind of the terms that give a single value away, anywhere in the corpus.
+ANYWHERE = "any"
 #: Most terms that are broadcast; more are joined by shuffle, with the same result.
 BROADCAST_TERMS = 200_000
 
@@ -82,8 +89,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def close_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[tuple[int, int]]]]:
-    """For each span its kind and the places of the words near it that meet no span. A word that is cut by the reach is left out."""
+def _apart(spans: list[tuple[str, int, int]]):
+    """Whether a word meets none of the spans."""
     starts, ends = [], []
     for a, b in sorted((a, b) for _, a, b in spans):  # as stretches apart from each other
         if ends and a <= ends[-1]:
@@ -96,6 +103,12 @@ def close_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
         i = bisect_left(starts, word[1]) - 1
         return i < 0 or ends[i] <= word[0]
 
+    return free
+
+
+def close_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[tuple[int, int]]]]:
+    """For each span its kind and the places of the words near it that meet no span. A word that is cut by the reach is left out."""
+    free = _apart(spans)
     out = []
     for kind, start, end in spans:
         low, high = max(0, start - REACH), min(len(text), end + REACH)
@@ -110,6 +123,7 @@ class Thresholds:
     generalise: float = GENERALISE
     remove: float = REMOVE
     support: int = SUPPORT
+    value_support: int = VALUE_SUPPORT
 
 
 def near_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -147,6 +161,32 @@ def near_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return once.groupBy("term", "kind").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("surroundings"))
 
 
+def value_of(kind: str, found: str) -> int:
+    """A hash of the entity as it is compared: addresses in lower case, numbers without their signs."""
+    plain = found.lower() if kind == "email" else found if kind == "ip" else _digits(found)
+    return int.from_bytes(hashlib.blake2b(f"{kind} {plain}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def value_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, value, docs): documents with the lower-cased term close to the entity of that hash; with a null term all documents with the entity."""
+
+    def run(batches):
+        for batch in batches:
+            docs: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                spans, met = base_spans(text), set()
+                for (kind, start, end), (_, words) in zip(spans, close_words(text, spans)):
+                    value = value_of(kind, text[start:end])
+                    met.update([(None, value)], ((text[a:b].lower(), value) for a, b in words))
+                docs.update(met)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in docs], pa.string()), pa.array([k[1] for k in docs], pa.int64()), pa.array(docs.values(), pa.int64())], names=["term", "value", "docs"],
+            )
+
+    slim = df.where(text_or_empty(text_col).rlike(_HINT)).select(text_or_empty(text_col).alias("text"))
+    return slim.mapInArrow(run, "term string, value bigint, docs bigint").groupBy("term", "value").agg(F.sum("docs").alias("docs"))
+
+
 def kind_counts(df: DataFrame, text_col: str = "text") -> dict[str, int]:
     """Documents with each kind of entity."""
 
@@ -173,7 +213,7 @@ def term_counts(df: DataFrame, terms: DataFrame, text_col: str = "text") -> Data
 
             def add(texts: list[str]) -> None:
                 for text in texts:
-                    docs.update(wanted.value.intersection(_WORD.findall(text.lower())))
+                    docs.update(wanted.value.intersection(map(str.lower, _WORD.findall(text))))
 
             return add, lambda: [pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(docs.values(), pa.int64())], names=["term", "docs"])]
 
@@ -188,7 +228,7 @@ def term_counts(df: DataFrame, terms: DataFrame, text_col: str = "text") -> Data
 
         def add(texts: list[str]) -> None:
             for text in texts:
-                docs.update(set(_WORD.findall(text.lower())))
+                docs.update(set(map(str.lower, _WORD.findall(text))))
 
         return add, lambda: [batch()]
 
@@ -197,23 +237,38 @@ def term_counts(df: DataFrame, terms: DataFrame, text_col: str = "text") -> Data
 
 
 def revealing_terms(df: DataFrame, limits: Thresholds = Thresholds(), text_col: str = "text") -> DataFrame:
-    """(term, kind, disclosure) of the terms at or over the first threshold, from every whole text of `df`."""
+    """(term, kind, disclosure) of the terms at or over the first threshold, from every whole text of `df`; kind ANYWHERE if a single value is given away."""
     near = materialise(near_counts(df, text_col).where(F.col("surroundings") >= limits.support))
-    total, kinds = df.count(), kind_counts(df, text_col)
-    totals = term_counts(df, near.select("term").distinct(), text_col)
-    n_kind = F.create_map(*(x for k in KINDS for x in (F.lit(k), F.lit(float(kinds.get(k, 0) or 0)))))[F.col("kind")]
-    told = F.try_divide(F.log(F.try_divide(F.lit(float(total)) * F.col("docs"), F.col("n") * n_kind)), F.log(F.try_divide(F.lit(float(total)), n_kind)))
-    found = near.join(totals, "term").withColumn("disclosure", told)
-    return found.where(F.col("disclosure") >= limits.generalise).select("term", "kind", "disclosure")
-
-
-def term_spans(text: str, spans: list[tuple[str, int, int]], told: dict[tuple[str, str], float]) -> list[tuple[int, int, float]]:
-    """(start, end, disclosure) of the revealing terms close to the spans, by start, each place once."""
+    values = materialise(value_counts(df, text_col).where(F.col("term").isNull() | (F.col("docs") >= limits.value_support)))
+    total, kinds = float(df.count()), kind_counts(df, text_col)
+    by_value = values.where("term IS NOT NULL").join(values.where("term IS NULL").select("value", F.col("docs").cast("double").alias("n_of")), "value")
+    by_kind = near.withColumn("n_of", F.create_map(*(x for k in KINDS for x in (F.lit(k), F.lit(float(kinds.get(k, 0) or 0)))))[F.col("kind")])
+    every = by_kind.select("term", "kind", "docs", "n_of").union(by_value.select("term", F.lit(ANYWHERE), "docs", "n_of"))
+    totals = term_counts(df, materialise(every.select("term").distinct()), text_col)
+    told = F.try_divide(F.log(F.try_divide(F.lit(total) * F.col("docs"), F.col("n") * F.col("n_of"))), F.log(F.try_divide(F.lit(total), F.col("n_of"))))
+    found = every.join(totals, "term").withColumn("disclosure", told).where(F.col("disclosure") >= limits.generalise)
+    return found.groupBy("term", "kind").agg(F.max("disclosure").alias("disclosure"))
+
+
+def told_of(rows) -> tuple[dict[tuple[str, str], float], dict[str, float]]:
+    """Disclosures of (term, kind), and of the terms that count anywhere."""
+    near = {(r["term"], r["kind"]): r["disclosure"] for r in rows if r["kind"] != ANYWHERE}
+    return near, {r["term"]: r["disclosure"] for r in rows if r["kind"] == ANYWHERE}
+
+
+def term_spans(text: str, spans: list[tuple[str, int, int]], told: tuple[dict[tuple[str, str], float], dict[str, float]]) -> list[tuple[int, int, float]]:
+    """(start, end, disclosure) of the revealing terms close to the spans, or anywhere outside them, by start, each place once."""
+    near, anywhere = told
     found: dict[tuple[int, int], float] = {}
-    for kind, words in close_words(text, spans) if told else ():
+    for kind, words in close_words(text, spans) if near and spans else ():
         for a, b in words:
-            if (share := told.get((text[a:b].lower(), kind))) is not None:
+            if (share := near.get((text[a:b].lower(), kind))) is not None:
                 found[a, b] = max(share, found.get((a, b), 0.0))
+    if anywhere and not anywhere.keys().isdisjoint(map(str.lower, _WORD.findall(text))):
+        free = _apart(spans)
+        for m in _WORD.finditer(text):
+            if (share := anywhere.get(m[0].lower())) is not None and free(m.span()):
+                found[m.span()] = max(share, found.get(m.span(), 0.0))
     return [(a, b, share) for (a, b), share in sorted(found.items())]
 
 
@@ -241,24 +296,25 @@ def _told(df: DataFrame, terms: DataFrame):
     """The terms as a broadcast table, or None where there are more than a broadcast may hold."""
     if terms.count() > BROADCAST_TERMS:
         return None
-    return df.sparkSession.sparkContext.broadcast({(r["term"], r["kind"]): r["disclosure"] for r in terms.collect()})
+    return df.sparkSession.sparkContext.broadcast(told_of(terms.collect()))
 
 
 def _with_terms(df: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """`df` with the column __told: an array of (term, kind, disclosure) that a text needs, found by a join on the words near its entities."""
+    """`df` with the column __told: an array of (term, kind, disclosure) that a text needs, found by a join on its words and those near its entities."""
 
     def run(batches):
         for batch in batches:
             keys, names, kinds = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for name, kind in {(text[a:b].lower(), k) for k, words in close_words(text, base_spans(text)) for a, b in words}:
+                near = {(text[a:b].lower(), k) for k, words in close_words(text, base_spans(text)) for a, b in words}
+                for name, kind in near | {(w.lower(), ANYWHERE) for w in _WORD.findall(text)}:
                     keys.append(key)
                     names.append(name)
                     kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(names, pa.string()), pa.array(kinds, pa.string())], names=["__key", "term", "kind"])
 
     keyed = df.withColumn("__key", F.sha2(text_or_empty(text_col), 256))
-    once = keyed.where(text_or_empty(text_col).rlike(_HINT)).select("__key", text_or_empty(text_col).alias("t")).dropDuplicates(["__key"])
+    once = keyed.select("__key", text_or_empty(text_col).alias("t")).dropDuplicates(["__key"])
     near = once.mapInArrow(run, "__key string, term string, kind string").join(terms, ["term", "kind"])
     told = near.groupBy("__key").agg(F.collect_list(F.struct("term", "kind", "disclosure")).alias("__told"))  # at most what one text holds
     return keyed.join(told, "__key", "left").drop("__key")
@@ -283,7 +339,7 @@ def find(df: DataFrame, terms: DataFrame | None = None, limits: Thresholds = Thr
     return map_texts(df, [id_col], text_col, schema, work)
 
 
-def _columns(texts: list[str], told: list[dict], limits: Thresholds) -> list[pa.Array]:
+def _columns(texts: list[str], told: list[tuple[dict, dict]], limits: Thresholds) -> list[pa.Array]:
     counts, base, every, clean = [[] for _ in range(5)], [], [], []
     for text, known in zip(texts, told):
         spans = base_spans(text)
@@ -293,7 +349,7 @@ def _columns(texts: list[str], told: list[dict], limits: Thresholds) -> list[pa.
             column.append(n)
         base.append(listed(spans))
         every.append(listed([*spans, *(("term", a, b) for a, b, _ in terms)]))
-        clean.append(sanitised(text, spans, terms, limits.remove) if spans else text)
+        clean.append(sanitised(text, spans, terms, limits.remove) if spans or terms else text)
     return [*(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.string()) for c in (base, every, clean))]
 
 
@@ -304,14 +360,14 @@ def _find_joined(df: DataFrame, terms: DataFrame, limits: Thresholds, id_col: st
 
     def run(batches):
         for batch in batches:
-            told = [{(t["term"], t["kind"]): t["disclosure"] for t in x or ()} for x in batch.column(2).to_pylist()]
+            told = [told_of(x or ()) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(batch.column(1).to_pylist(), told, limits)], names=[id_col, *names])
 
     return _with_terms(slim, terms, "__t").select(f"`{id_col}`", "__t", "__told").mapInArrow(run, f"`{id_col}` {kind}, {schema}")
 
 
 def sanitise(df: DataFrame, limits: Thresholds = Thresholds(), text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """`df`, all columns as they are, with entities and revealing terms of the text replaced; null texts stay null, texts without entities as they are.
+    """`df`, all columns as they are, with entities and revealing terms of the text replaced; null texts stay null, texts without either as they are.
 
     `length_col`, if given, becomes the new text's length where the text has changed.
     """
@@ -323,12 +379,13 @@ def sanitise(df: DataFrame, limits: Thresholds = Thresholds(), text_col: str = "
     def run(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            told = [shared.value] * len(texts) if shared is not None else [{(t["term"], t["kind"]): t["disclosure"] for t in x or ()} for x in batch.column(told_at).to_pylist()]
+            told = [shared.value] * len(texts) if shared is not None else [told_of(x or ()) for x in batch.column(told_at).to_pylist()]
             made, lengths = [], batch.column(columns.index(length_col)).to_pylist() if length_col else []
             for i, (text, known) in enumerate(zip(texts, told)):
                 spans = base_spans(text) if text else []
-                if spans:
-                    text = sanitised(text, spans, term_spans(text, spans, known), limits.remove)
+                terms = term_spans(text, spans, known) if text else []
+                if spans or terms:
+                    text = sanitised(text, spans, terms, limits.remove)
                     if length_col:
                         lengths[i] = len(text)
                 made.append(text)

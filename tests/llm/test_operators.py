@@ -207,6 +207,23 @@ def test_pii_terms(spark, monkeypatch, most):
     assert pii.find(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_pii_rare_terms_of_one_value(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    rnd = random.Random(6)
+    made = [" ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(20)) for _ in range(80)]
+    made += ["Zebulon paid with 4111 1111 1111 1111 alpha"] * 3  # copies of one passage
+    made += [f"gamma {'beta ' * i}Quillfeather q.f@example.com alpha" for i in range(4)]  # under any support of ten
+    made += ["far off " + "alpha " * 50 + "QUILLFEATHER called", "q.f@example.com " + "beta " * 30 + "Quillfeather", "\u0130zmir q.f@example.com", "\u0130zmir q.f@example.com"]
+    got = {r["doc_id"]: r for r in pii.find(frame(spark, made)).collect()}
+    assert all("zebulon" not in r["sanitised"].lower() and "quillfeather" not in r["sanitised"].lower() and "zmir" not in r["sanitised"] for r in got.values())
+    start = made[87].index("QUILL")
+    assert got[87]["spans"] == f"term:{start}:{start + 12}" and "called" in got[87]["sanitised"]
+    assert all(got[i]["sanitised"] == made[i] for i in range(80))
+    clean = pii.sanitise(frame(spark, made), length_col="doc_id")
+    assert sorted(r["text"] for r in clean.collect()) == sorted(r["sanitised"] for r in got.values())
+
+
 def check_bins(rows, texts, sources, capacity):
     sizes, bins = {}, {}
     for r in rows:
