@@ -2,13 +2,18 @@
 
 A text and a template are aligned on the words that occur once in each: of these anchors the longest increasing
 subsequence is kept, and the gaps between them are aligned in the same way. Coverage is the number of aligned words as a share
-of the template's words or, if they are more, of the words from the first aligned one to the last. Only stretches around two adjacent words of a template are looked at, so a long text costs its words.
+of the template's words or, if they are more, of the words from the first aligned one to the last. Only stretches around two adjacent words of a template are looked at, and of these only such that hold as many pairs of adjacent template words as the coverage implies.
+
+Templates are short notices, and the headers and whole texts in the folder `licenses`. A paragraph of a text is a template of its own, so that a
+part of a licence is found; it is not listed within a place where its whole text is.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +31,8 @@ TEMPLATES = {
 }
 #: Coverage from which a template counts as found.
 COVERAGE = 0.8
+#: Fewest words of a paragraph that is looked for by itself.
+PART_WORDS = 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -84,6 +91,37 @@ def _once(words: list[str], start: int, end: int) -> dict[str, int]:
     return {w: i for w, i in seen.items() if i >= 0}
 
 
+@lru_cache(maxsize=1)
+def known_templates() -> dict[str, str]:
+    """The notices, the texts by the name of their file, and their paragraphs as name/1, name/2 and so on."""
+    found = dict(TEMPLATES)
+    for file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = found[file.stem] = file.read_text(encoding="utf-8")
+        parts = re.split(r"\n\s*\n", text.strip())
+        if len(parts) > 1:
+            found |= {f"{file.stem}/{i}": p for i, p in enumerate(parts, 1) if len(words_of(p)[0]) >= PART_WORDS}
+    return found
+
+
+def _without_lesser(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """`found`, sorted by start, without paragraphs inside their whole text, and of two that share most of their place without the one less covered."""
+    lost, open_ = set(), []
+    for i, (name, start, end, share) in enumerate(found):
+        open_ = [k for k in open_ if found[k][2] > start]
+        for k in open_:
+            other, begin, stop, its = found[k]
+            common = min(end, stop) - start
+            if ("/" in name) != ("/" in other):
+                part, whole = (i, k) if "/" in name else (k, i)
+                inside = found[whole][1] <= found[part][1] and found[part][2] <= found[whole][2]
+                if inside and found[part][0].split("/")[0] == found[whole][0]:
+                    lost.add(part)
+            elif share != its and 2 * common > max(end - start, stop - begin):
+                lost.add(i if share < its else k)
+        open_.append(i)
+    return [f for i, f in enumerate(found) if i not in lost]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         if not 0 < coverage <= 1:
@@ -97,27 +135,45 @@ class Scanner:
         self.single = any(len(k) == 1 for k in self.hints)
 
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(template, start, end, coverage) by start; of one template no two overlap."""
+        """(template, start, end, coverage) by start; of one template no two overlap, of much alike ones the best covered is named."""
         words, places = words_of(text)
-        free, out = dict.fromkeys(self.templates, 0), []
+        met: dict[str, list[int]] = {}
         for i, pair in enumerate(zip(words, [*words[1:], ""])):
-            named = self.hints.get(pair, ())
-            if self.single and (pair[0],) in self.hints:
-                named = [*named, *self.hints[pair[0],]]
-            for name in named:
-                if i < free[name]:
-                    continue
-                template = self.templates[name]
-                low = max(free[name], i - len(template))
-                found = align(words[low : i + len(template) + 1], template)
-                if not found:
-                    continue
+            for name in self.hints.get(pair, ()):
+                met.setdefault(name, []).append(i)
+            if self.single:
+                for name in self.hints.get((pair[0],), ()):
+                    met.setdefault(name, []).append(i)
+        out = []
+        for name, at in met.items():
+            out += self._of_template(name, at, words, places) if len(at) >= self.needed(name) else ()
+        out.sort(key=lambda f: (f[1], f[2], f[0]))
+        return _without_lesser(out)
+
+    def needed(self, name: str) -> int:
+        """Fewest pairs of adjacent words that an alignment of this coverage keeps: of A aligned words, no more than the others on either side lose theirs."""
+        return max(1, int(len(self.templates[name]) * (3 * self.coverage - 2) - 1 - 1e-9))
+
+    def _of_template(self, name: str, at: list[int], words: list[str], places: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
+        template, needed, out, free, k = self.templates[name], self.needed(name), [], 0, 0
+        step = max(1, len(template) // 32)  # a window has room for that beside the longest stretch
+        while k < len(at):
+            i, k = at[k], k + 1
+            if i < free:
+                continue
+            low = max(free, i - len(template))
+            if bisect_right(at, i + len(template)) - bisect_left(at, low) < needed:
+                continue
+            found = align(words[low : i + len(template) + 1], template)
+            if found:
                 first, last = low + found[0][0], low + found[-1][0]
                 share = len(found) / max(len(template), last - first + 1)
                 if share >= self.coverage:
                     out.append((name, places[first][0], places[last][1], share))
-                    free[name] = last + 1
-        return sorted(out, key=lambda f: (f[1], f[2], f[0]))
+                    free = last + 1
+                    continue
+            k = max(k, bisect_left(at, i + step))
+        return out
 
 
 def scan(
@@ -129,7 +185,7 @@ def scan(
     without any. Null and empty texts find nothing. Ids may be null or repeat; each row is scanned by itself. Other columns
     are not read; an empty table gives an empty result. The templates are few and go to the tasks with the code.
     """
-    known = dict(TEMPLATES if templates is None else templates)
+    known = dict(known_templates() if templates is None else templates)
 
     def work():
         scanner = Scanner(known, coverage)

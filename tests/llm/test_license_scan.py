@@ -43,6 +43,20 @@ def test_notices_are_found(spark):
     assert [r.licenses for r in ls.scan(df, {"one": "Word"}).where("doc_id = 7").collect()] == ["one"]
 
 
+def test_whole_edited_and_partial_texts(spark):
+    known, rnd = ls.known_templates(), random.Random(3)
+    plain = lambda name: " ".join(known[name].split())
+    edited = lambda name: " ".join("changed" if rnd.random() < 0.03 else w for w in known[name].split())
+    names = ["mit-text", "bsd-3-text", "isc-text", "gpl-header", "mpl-header", "apache-header", "apache-2.0-text", "gpl-3-text", "mpl-2.0-text", "cc0-1.0-text"]
+    texts = [f"before {plain(n)} after" for n in names] + [f"# {edited(n)} ." for n in names]
+    half = "\n\n".join(known["mit-text"].split("\n\n")[1:])  # without the grant
+    texts += [half, "ordinary words of the text and of the house " * 300, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."]
+    got = {r.doc_id: r for r in ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, name in enumerate(names + names):
+        assert name in got[i].licenses.split(","), (i, name)
+    assert got[20].licenses.startswith("mit-text/") and got[21].n_matches == 0 and got[22].licenses == "cc-by-sa-header"
+
+
 def test_every_planted_line_is_found(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = {r["doc_id"]: r["licenses"] for r in QUERIES["op7_license_scan"](spark, SF).collect()}
