@@ -14,12 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .rows import text_or_empty, type_of
 
 #: Room of a bin, in units of the length: by default bytes of UTF-8, the tokens of a byte-level model.
 CAPACITY = 8192
 #: Rows that a shard is meant to hold.
 SHARD_ROWS = 4096
+#: Share of a shard from which the rows of one id are dealt to all shards.
+HEAVY = 16
+#: Most rows of a broadcast list of ids; a longer one is joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 class Bins:
@@ -70,7 +75,7 @@ def pack(
     `length` is by default the text's bytes in UTF-8, `cluster` a hash of the text, so that copies share a cluster. A document
     longer than a bin gives full pieces, each a bin of its own, and a rest. In a bin no two pieces share a source or a cluster;
     null sources conflict with nothing. Texts of length 0 (null too) give one piece of length 0. Ties go by id. Repeated
-    rows are packed each by itself, and as copies never share a bin. Null ids are dealt by their row. An empty table gives an
+    rows are packed each by itself, and as copies never share a bin. Null ids, and ids that repeat so often that they would fill a shard, are dealt by their row. An empty table gives an
     empty result; other columns are not read. A bin's number has its shard in the bits from 2^32 up.
     """
     if capacity < 1 or shard_rows < 1:
@@ -78,11 +83,18 @@ def pack(
     text = text_or_empty(text_col)
     size = (F.octet_length(text) if length is None else length).cast("long")
     shards = -(-max(1, df.count()) // shard_rows)
-    salt = F.when(F.col(f"`{id_col}`").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    by_row = F.col(f"`{id_col}`").isNull()
     slim = df.select(
-        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), salt), F.lit(shards)).alias("shard"), F.col(f"`{id_col}`").alias("doc"), F.col(f"`{source_col}`").cast("string").alias("source"),
-        (F.xxhash64(text) if cluster is None else cluster).cast("string").alias("cluster"), F.greatest(size, F.lit(0)).alias("size"),
+        F.col(f"`{id_col}`").alias("doc"), F.col(f"`{source_col}`").cast("string").alias("source"), (F.xxhash64(text) if cluster is None else cluster).cast("string").alias("cluster"),
+        F.greatest(size, F.lit(0)).alias("size"), F.monotonically_increasing_id().alias("row"), by_row.alias("by_row"),
     )
+    heavy = df.where(~by_row).groupBy(F.col(f"`{id_col}`").alias("doc")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, shard_rows // HEAVY))
+    heavy = materialise(heavy.select("doc", F.lit(True).alias("heavy")))
+    n_heavy = heavy.count()
+    if n_heavy:
+        slim = slim.join(F.broadcast(heavy) if n_heavy <= BROADCAST_ROWS else heavy, "doc", "left").withColumn("by_row", F.col("by_row") | F.coalesce("heavy", F.lit(False)))
+    salt = F.when(F.col("by_row"), F.col("row")).otherwise(F.lit(0))
+    slim = slim.select(F.pmod(F.xxhash64("doc", salt), F.lit(shards)).alias("shard"), "doc", "source", "cluster", "size")
 
     def place(shard: pa.Table) -> pa.Table:
         number = shard.column("shard")[0].as_py()

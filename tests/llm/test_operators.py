@@ -314,3 +314,13 @@ def test_language_id_edges(spark, texts):
     unfitted = language_id.fit(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in language_id.identify(df, unfitted).collect()} == {"und"}
     assert language_id.identify(df.limit(0), language_id.fit(df.limit(0))).collect() == []
+
+
+def test_packing_deals_repeated_ids_to_all_shards(spark):
+    df = spark.range(3000).selectExpr("if(id < 2000, 7, id) AS doc_id", "'one text' AS text", "cast(null AS string) AS source")
+    rows = packing.pack(df, shard_rows=100).collect()
+    shards = {}
+    for r in rows:
+        shards[r["bin_id"] >> 32] = shards.get(r["bin_id"] >> 32, 0) + 1
+    assert len(rows) == 3000 and sum(r["doc_id"] == 7 for r in rows) == 2000 and len({r["bin_id"] for r in rows}) == 3000
+    assert max(shards.values()) < 200
