@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, exact_dedup, jaccard_join, language_id, license_scan, packing, pii, quality_model, quality_rules, token_counts
+from . import bpe_transducer, exact_dedup, jaccard_join, language_id, license_scan, merkle_manifest, packing, pii, quality_model, quality_rules, token_counts
 from .rows import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    made = merkle_manifest.manifest(
+        documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"],
+        changed=lambda: {"text": F.translate("text", upper, upper.lower())}, is_changed=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+    )
+    back = merkle_manifest.folded(F.coalesce("changed_leaf", "leaf"), F.col("path"))
+    out = made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.proof(F.col("path")), 256).alias("proof_sha256"), back.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
