@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, exact_dedup, jaccard_join, language_id, license_scan, merkle_manifest, packing, pii, quality_model, quality_rules, token_counts
+from . import alignment, bpe_transducer, exact_dedup, jaccard_join, language_id, license_scan, merkle_manifest, packing, pii, quality_model, quality_rules, token_counts, toxicity
 from .rows import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = merkle_manifest.folded(F.coalesce("changed_leaf", "leaf"), F.col("path"))
     out = made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.proof(F.col("path")), 256).alias("proof_sha256"), back.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def fifth(id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text leaves 0 when divided by 5; a null id counts as the text ''."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"), fifth())
+    return toxicity.score(docs, model).select("doc_id", fifth().alias("held_out"), "score", "predicted")
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
