@@ -161,6 +161,46 @@ def value_after_label(lines: Column, label: str, value: str, window: int = 3) ->
 
 
 def grounded(value: Column | str, text: Column | str) -> Column:
-    """The value appears in the text, with its spacing or without any."""
-    v, t = F.lower(normalise_space(value)), F.lower(normalise_space(text))
-    return (v != "") & (t.contains(v) | squeeze(t).contains(squeeze(v)))
+    """The value appears in the text: as it stands, or without blanks and hyphens if four characters are left."""
+    v, t = F.lower(strip(col(value))), F.lower(F.regexp_replace(col(text), r"\s+", " "))
+    bare = F.regexp_replace(v, r"[\s-]", "")
+    return (F.length(v) >= 2) & (t.contains(v) | ((F.length(bare) >= 4) & F.regexp_replace(t, r"[\s-]", "").contains(bare)))
+
+
+def money_cents(text: Column | str) -> Column:
+    """All amounts a text holds, in cents."""
+    return F.array_compact(F.transform(money_tokens(text), parse_money))
+
+
+def align_amount(cents: Column, tokens: Column) -> Column:
+    """An amount that the text holds only a hundredfold was given in major units."""
+    return F.when(~F.array_contains(tokens, cents) & (F.abs(cents) <= 90071992547409) & F.array_contains(tokens, cents * 100), cents * 100).otherwise(cents)
+
+
+def pick_currency(known: Column, offered: Column, text: Column | str) -> Column:
+    """The known currency, unless there is none, the text labels the offered one, or the dollar sign was only taken for AUD."""
+    has, offer = F.upper(known), F.upper(offered)
+    labelled_code, usable = F.upper(detect_currency(text)), offer.isin(*CURRENCIES)
+    named = F.expr("true")
+    for code in CURRENCIES:
+        named = named & ((offer != code) | col(text).rlike(rf"(?i)\b{code}\b"))
+    better = F.coalesce((offer == labelled_code) & (has != labelled_code), F.lit(False)) | ((has == "AUD") & (offer != "AUD") & named & ~col(text).rlike(r"(?i)\bAUD\b"))
+    return F.when(usable & (has.isNull() | better), offer).otherwise(has)
+
+
+# Bounds of an overview written by a model.
+SYNOPSIS_LEAST, SYNOPSIS_MOST = 12, 4000
+
+
+def synopsis(value: Column | str, source: Column | str) -> Column:
+    """A short overview in own words: blanks collapsed, clipped at a word, null if too short or if it is the source pasted back."""
+    one = strip(F.regexp_replace(col(value), r"\s+", " "))
+
+    def kept(text: Column) -> Column:
+        src, syn = F.lower(strip(F.regexp_replace(F.coalesce(col(source), F.lit("")), r"\s+", " "))), F.lower(text)
+        long_copy = (F.length(src) >= 40) & (F.length(syn) >= F.floor(F.length(src) * 0.75)) & (src.contains(syn) | syn.contains(F.substring(src, 1, 80)))
+        dump = (src != "") & ((syn == src) | ((F.length(syn) >= 160) & src.contains(syn)) | long_copy)
+        return F.when((F.length(text) >= SYNOPSIS_LEAST) & ~dump, text)
+
+    clipped = lambda t: F.when(F.length(t) > SYNOPSIS_MOST, strip(F.regexp_replace(F.substring(t, 1, SYNOPSIS_MOST), r"\s+\S*$", ""))).otherwise(t)
+    return let(one, lambda t: F.when(F.length(t) >= SYNOPSIS_LEAST, let(clipped(t), kept)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomalies, cash, explain, forecast, matching, recon
+from ..operators import anomalies, cash, explain, forecast, matching, recon, supporting
 from ..sources.adapters import Domain
 from .catalog import Catalog
 from .sqltext import RECON_CTES, RECON_NEEDS, norm_key, plain
@@ -200,6 +200,37 @@ def _explained(d: Domain):
     return explain.explain(decided, d.bank_transactions, explain.loaded(d.sales_orders, d.purchase_orders, d.remittances))
 
 
+_SHOWN = """
+listed AS (
+  SELECT t.transaction_id, 'com' AS side, 0 AS prio, CAST(strpos(upper(concat_ws(' ', x.reference, x.description, x.narrative, x.customer_reference, x.bank_reference, x.counterparty)), t.tok) AS BIGINT) AS ord, CASE b.flow WHEN 'O2C' THEN 'SO:' ELSE 'PO:' END || b.id AS name FROM line_tokens t JOIN bank_transactions x ON x.id = t.transaction_id JOIN by_id b ON b.flow = t.flow AND upper(b.id) = t.tok AND b.currency = t.currency
+  UNION ALL SELECT transaction_id, 'com', 1, source_row, 'PO:' || id FROM po_pairs
+  UNION ALL SELECT l.transaction_id, 'com', 2, c.source_row, CASE c.flow WHEN 'O2C' THEN 'SO:' ELSE 'PO:' END || c.id FROM lines l JOIN (SELECT * FROM commercial QUALIFY row_number() OVER (PARTITION BY flow, currency, amount ORDER BY source_row, id) <= 12) c ON c.flow = l.flow AND c.currency = l.currency AND c.amount = l.abs_amount
+  UNION ALL SELECT transaction_id, 'rem', 0, source_row, 'remittance:' || id FROM ref_pairs
+  UNION ALL SELECT transaction_id, 'rem', 1, 0, 'remittance:' || named_doc.id FROM context WHERE ref_n = 0 AND named_n = 1
+  UNION ALL SELECT x.transaction_id, 'rem', 1, r.source_row, 'remittance:' || r.id FROM context x JOIN (SELECT *, CASE party WHEN 'customer' THEN 'O2C' ELSE 'P2P' END AS flow FROM remittances QUALIFY row_number() OVER (PARTITION BY flow, currency, amount ORDER BY source_row, id) <= 12) r
+    ON r.flow = x.flow AND r.currency = x.currency AND r.amount = x.abs_amount WHERE x.ref_n = 0 AND x.named_n <> 1),
+once AS (SELECT transaction_id, side, name, min(struct_pack(p := prio, o := ord)) AS place FROM listed GROUP BY 1, 2, 3),
+firsts AS (SELECT transaction_id, list(name ORDER BY place, name) FILTER (side = 'com') AS com, list(name ORDER BY place, name) FILTER (side = 'rem') AS rem
+  FROM (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY transaction_id, side ORDER BY place, name) <= 4) GROUP BY 1),
+picked AS (SELECT r.transaction_id, r.matched_type, r.matched_id, coalesce(com, []) AS com, coalesce(rem, []) AS rem, c.id_n = 1 OR (c.flow = 'P2P' AND c.po_n = 1) OR c.com_n = 1 AS one_com, c.ref_n = 1 OR c.rem_n = 1 OR c.named_n = 1 AS one_rem, c.id_n > 0 OR c.po_n > 0 AS referenced
+  FROM recon r JOIN context c ON c.transaction_id = r.transaction_id LEFT JOIN firsts f ON f.transaction_id = r.transaction_id),
+combined AS (SELECT transaction_id, CASE WHEN matched_id IS NULL THEN list_concat(CASE WHEN one_rem THEN rem[1:1] ELSE rem END, CASE WHEN one_com THEN com[1:1] ELSE com END)
+    WHEN matched_type = 'remittance' THEN list_concat(['remittance:' || matched_id], CASE WHEN one_com THEN com[1:1] WHEN referenced THEN com[1:3] ELSE [] END)
+    ELSE list_concat([matched_type || ':' || matched_id], CASE WHEN one_rem THEN rem[1:1] ELSE rem END) END AS names FROM picked),
+positions8 AS (SELECT transaction_id, row_number() OVER (PARTITION BY transaction_id ORDER BY i) AS position, name FROM (SELECT transaction_id, unnest(names) AS name, unnest(range(1, len(names) + 1)) AS i, names FROM combined) WHERE list_position(names, name) = i QUALIFY position <= 8),
+labels AS (SELECT 'SO:' || id AS name, id AS number, 'SO ' || id AS label FROM sales_orders
+  UNION ALL SELECT 'PO:' || id, number, 'PO ' || number || CASE WHEN number <> id THEN ' (' || id || ')' ELSE '' END || CASE WHEN invoice_number <> '' AND invoice_number <> number AND invoice_number <> id THEN ' · inv ' || invoice_number ELSE '' END
+    FROM (SELECT *, coalesce(list_filter(po_numbers, lambda n: n <> '' AND n <> id)[1], nullif(invoice_number, ''), id) AS number FROM purchase_orders)
+  UNION ALL SELECT 'remittance:' || id, number, 'Remittance ' || number || CASE WHEN number <> id THEN ' (' || id || ')' ELSE '' END || CASE WHEN len(invoice_numbers) > 0 THEN ' inv ' || array_to_string(invoice_numbers[1:3], ', ') ELSE '' END
+    FROM (SELECT *, coalesce(nullif(remittance_number, ''), nullif(reference, ''), id) AS number FROM remittances))"""
+
+
+@add("T07_supporting_documents", "SELECT transaction_id, position, string_split(p.name, ':')[1] AS kind, substr(p.name, strpos(p.name, ':') + 1) AS id, number, label FROM positions8 p JOIN labels l ON l.name = p.name", RECON_NEEDS, RECON_CTES + "," + _SHOWN)
+def t07(d: Domain):
+    decided = recon.decide(_context(d))
+    return supporting.supporting_documents(decided, d.bank_transactions, d.sales_orders, d.purchase_orders, d.remittances).select("transaction_id", "position", "kind", "id", "number", "label")
+
+
 @add("H57_matched_label", "SELECT transaction_id, CASE WHEN matched_id IS NULL THEN '—' WHEN matched_type = 'remittance' THEN 'Remittance ' || matched_id ELSE matched_type || ' ' || matched_id END AS matched_to FROM recon", RECON_NEEDS, RECON_CTES)
 def h57(d: Domain):
     return _reconcile(d).select("transaction_id", explain.matched_label(F.col("matched_type"), F.col("matched_id")).alias("matched_to"))

@@ -270,6 +270,46 @@ FROM {{order_facts}}
 """
 
 
+# What a model answered about the invoices and agreements: JSON text, some of it broken or of wrong types; < and > stand for braces.
+def _json(text: str) -> str:
+    return f"translate({text}, '<>', chr(123) || chr(125))"
+
+
+_INVOICE_ANSWER = f"""
+CASE k % 10 WHEN 0 THEN CASE k % 4 WHEN 0 THEN 'not json <' WHEN 2 THEN CAST(NULL AS STRING) ELSE '' END WHEN 1 THEN '[1, 2]'
+  WHEN 2 THEN '<"confidence":' || CASE k % 3 WHEN 0 THEN '"high"' WHEN 1 THEN '61.5' ELSE 'null' END || ',"header":' || CASE k % 4 WHEN 0 THEN '[]' ELSE '<"total":true,"subtotal":"twelve","invoiceNumber":7>' END
+    || ',"lineItems":[<"lineNumber":1.5,"description":"x","unitPrice":"abc","quantity":"2","extra":<"a":1>>,5,<"quantity":2>],"taxLines":' || CASE k % 4 WHEN 2 THEN '<>' ELSE '[<"rate":1>,<"label":"VAT","rate":"x">]' END || ',"bank":' || CASE k % 3 WHEN 0 THEN '[]' ELSE '<"extra":7>' END
+    || ',"fields":[<"category":"nope","key":"a","value":"b","confidence":1>,<"category":"dates","key":"a">],"warnings":["w",3],"reviewReasons":"none">'
+  ELSE '<"vendor":"' || CASE k % 3 WHEN 0 THEN 'acme' ELSE 'nobody' END || '","confidence":' || CASE k % 7 WHEN 0 THEN '0' WHEN 1 THEN '140' ELSE {_s('30 + k % 60')} END || ',"header":<"invoiceNumber":' || CASE k % 4 WHEN 0 THEN '" INV/' || {_pad('k', 8)} || ' "' WHEN 1 THEN '"MADE-UP-9"' ELSE '""' END
+    || ',"invoiceDate":' || CASE k % 3 WHEN 0 THEN '"5 Mar 2020"' WHEN 1 THEN '"2020-03-05"' ELSE 'null' END || ',"dueDate":"soon","currency":"' || CASE k % 4 WHEN 0 THEN 'usd' WHEN 1 THEN 'eur' WHEN 2 THEN 'xxx' ELSE 'aud' END || '"'
+    || ',"supplierName":"' || party_name || '","customerName":"' || CASE k % 2 WHEN 0 THEN 'Delivery ' || {_s('k % 9')} ELSE 'Nobody Known' END || '","supplierCountry":"GB"'
+    || ',"total":' || CASE k % 5 WHEN 0 THEN {_s('cents')} WHEN 1 THEN '1200.50' WHEN 2 THEN '"£1,200.50"' WHEN 3 THEN '20' ELSE 'null' END || ',"amountDue":' || CASE k % 3 WHEN 0 THEN '20' ELSE '""' END || '>'
+    || ',"lineItems":[<"lineNumber":3,"description":" Work ","lineTotal":20,"unitPrice":12.5,"quantity":1.5,"extra":<"note":"n">>,<"description":"More","lineTotal":"(5.00)">]'
+    || ',"taxLines":[<"label":"VAT","rate":20,"taxAmount":"£12.50">],"bank":' || CASE k % 4 WHEN 0 THEN '<"iban":"GB29NWBK60161331926819","accountName":"Ops">' WHEN 1 THEN '<>' ELSE 'null' END
+    || ',"fields":[<"category":"dates","key":"invoiceDate","value":"x","confidence":50>,<"category":"site","key":"meter","value":"M1","confidence":70>],"warnings":["Totals were not classified by me","odd layout"],"reviewReasons":["check the sum","Supplier name unsure"],"more":1>' END
+"""
+_AGREEMENT_ANSWER = f"""
+CASE k % 9 WHEN 0 THEN '<"confidence":1' WHEN 1 THEN '<"confidence":"x","header":<"autoRenew":"maybe">,"warnings":[1],"reviewReasons":[]>'
+  ELSE '<"confidence":' || {_s('k % 100')} || ',"header":<"agreementId":"AG-' || {_pad('k', 6)} || '","requestor":"Jo Smith","agreementType":"' || CASE k % 3 WHEN 0 THEN 'Policy' WHEN 1 THEN 'NDA' ELSE 'Lease' END || '","contractingEntity":"' || party_name
+    || '","businessFunction":"Marketing","startDate":"3 April 2021","endDate":' || CASE k % 2 WHEN 0 THEN '"2031-01-01"' ELSE '""' END || ',"autoRenew":' || CASE k % 4 WHEN 0 THEN '"yes"' WHEN 1 THEN 'false' ELSE 'null' END || ',"perpetual":' || CASE k % 3 WHEN 0 THEN 'true' ELSE '"no"' END
+    || '>,"warnings":["w ' || {_s('k % 3')} || '"],"reviewReasons":["look again"],"synopsis":"' || CASE k % 4 WHEN 0 THEN 'short' WHEN 1 THEN 'Some agreement   between two parties about services.' ELSE 'An overview: fees of 1,000 a year from 2021.' END || '">' END
+"""
+DOMAIN["invoice_outputs"] = f"SELECT k AS doc_id, {_json(_INVOICE_ANSWER)} AS output FROM {{order_facts}} WHERE k % 8 <> 7"
+DOMAIN["agreement_outputs"] = f"SELECT k AS doc_id, {_json(_AGREEMENT_ANSWER)} AS output FROM {{order_facts}} WHERE k % 5 <> 4"
+
+
+# What people did with the invoices: a few events each, and one document that the event stream touches again and again.
+DOMAIN["invoice_events"] = f"""
+SELECT k AS doc_id, 'EV-' || {_s('k')} || '-' || {_s('n')} AS event_id, {_s('d + CAST(n AS INT)')} || 'T08:00:00Z' AS happened_at, CASE (k + n) % 6 WHEN 0 THEN 'archive' WHEN 1 THEN 'reprocess' WHEN 2 THEN 'reject' WHEN 3 THEN 'accept' WHEN 4 THEN 'accept' ELSE 'viewed' END AS action,
+  CASE WHEN k % 3 = 0 THEN ' ' ELSE 'user' || {_s('k % 5')} END AS actor, CASE WHEN k % 4 = 0 THEN 'because ' || {_s('n')} END AS reason, CASE WHEN (k + n) % 2 = 0 THEN 'NEW/' || {_s('k % 50')} END AS new_number,
+  CASE WHEN k % 5 = 0 THEN {_s('k % 7')} || '.25' WHEN k % 5 = 1 THEN 'x' END AS new_total_major, CASE WHEN k % 3 = 1 THEN {_s('cents')} END AS new_total, CASE WHEN n = 2 THEN 'eur' WHEN n = 3 THEN 'USD' END AS new_currency, CASE WHEN n = 1 THEN 'note' END AS new_notes
+FROM {{order_facts}} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SELECT 3 AS n UNION ALL SELECT 4 AS n) times WHERE n <= k % 5
+UNION ALL SELECT 0 AS doc_id, 'EV-0-' || {_pad('event_id', 12)} AS event_id, {_s('CAST(ts AS DATE)')} || 'T09:00:00Z' AS happened_at, CASE event_id % 4 WHEN 0 THEN 'reject' WHEN 1 THEN 'archive' ELSE 'accept' END AS action, 'user' || {_s('user_id % 7')} AS actor, CAST(NULL AS STRING) AS reason,
+  CASE WHEN event_id % 3 = 0 THEN 'N' || {_s('event_id % 5')} END AS new_number, CAST(NULL AS STRING) AS new_total_major, CASE WHEN event_id % 2 = 0 THEN {_s('event_id % 11')} END AS new_total, CAST(NULL AS STRING) AS new_currency, event_type AS new_notes
+FROM {{events}}
+"""
+
+
 # Edit history of supplier records, from the event stream.
 DOMAIN["audit_events"] = f"""
 SELECT 'AUD-' || {_pad('event_id', 12)} AS id, CASE WHEN event_id % 3 = 0 THEN 'supplier' ELSE 'site' END AS record_type,
@@ -283,6 +323,75 @@ SELECT 'VAT-' || {_pad('event_id', 12)} AS id, {_s('user_id')} || '-' || {_s('1
 """
 
 
+# Printed statements: text items with their place on a page, written from orders; newest posting first, eight to a page.
+def _div(a: str, b: int) -> str:
+    return f"CAST(({a} - ({a}) % {b}) / {b} AS BIGINT)"
+
+
+def _printed(cents: str) -> str:
+    """Amount text with grouped thousands, from a column of cents."""
+    whole, low = _div(f"abs({cents})", 100), f"abs({cents}) % 100"
+    thousands, millions = _div(whole, 1000), _div(whole, 1000000)
+    return (
+        f"CASE WHEN {cents} < 0 THEN '-' ELSE '' END || CASE WHEN {millions} > 0 THEN {_s(millions)} || ',' || {_pad(f'{thousands} % 1000', 3)} || ',' || {_pad(f'{whole} % 1000', 3)}"
+        f" WHEN {thousands} > 0 THEN {_s(thousands)} || ',' || {_pad(f'{whole} % 1000', 3)} ELSE {_s(whole)} END || '.' || {_pad(low, 2)}"
+    )
+
+
+def _day_text(d: str) -> str:
+    months = " ".join(f"WHEN '{i:02d}' THEN '{m}'" for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(), 1))
+    return f"substr({_s(d)}, 9, 2) || ' ' || CASE substr({_s(d)}, 6, 2) {months} END || ' ' || substr({_s(d)}, 1, 4)"
+
+
+DOMAIN["printed_postings"] = f"""
+SELECT doc_id, nation_key, k, ks, currency, party_name, d, signed, {_div('r', 8)} + 1 AS page, r % 8 AS slot,
+  CAST(sum(signed) OVER (PARTITION BY doc_id ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) + 500000 + CASE WHEN k % 41 = 0 THEN 100 ELSE 0 END AS balance
+FROM (SELECT t.*, row_number() OVER (PARTITION BY doc_id ORDER BY d DESC, k) - 1 AS r
+  FROM (SELECT f.*, CASE WHEN f.k % 3 = 0 THEN -f.cents ELSE f.cents END AS signed,
+      'PDF-' || {_s('f.nation_key')} || CASE WHEN f.nation_key % 5 = 0 THEN '' ELSE '-' || substr({_s('f.d')}, 1, 4) END AS doc_id FROM {{order_facts}} f) t) u
+"""
+
+
+def _printed_items() -> str:
+    row = "330.2 - slot * 32"
+    of_row = [  # (condition, offset, x, y, text)
+        ("k % 6 <> 0", 0, "31.2", row, "'BR' || ks"), ("k % 6 = 0", 0, "31.2", row, "'BR'"), ("k % 6 = 0", 1, "60", row, "ks"), ("k % 4 <> 0", 2, "129.2", row, "'SO-' || ks"),
+        ("k % 10 <> 9", 3, "227.2", row, "CASE WHEN signed < 0 THEN 'DR' ELSE 'TRF' END"), ("k % 7 <> 0", 4, "325.2", row, _day_text("d")),
+        ("signed > 0", 5, "423.2", row, _printed("signed")), ("signed < 0", 6, "521.2", row, _printed("signed")), ("k % 37 <> 0", 7, "619.2", row, _printed("balance")),
+        ("k % 43 <> 0", 8, "717.2", f"{row} - 0.1", _day_text("d")), ("k % 2 = 0", 10, "31.2", f"{row} - 9", "'Narrative'"), ("k % 2 = 0", 11, "82", f"{row} - 9", "'NARR ' || party_name"),
+        ("k % 2 = 0 AND k % 3 = 0", 12, "260", f"{row} - 9", "'  ref ' || ks"), ("k % 3 = 1", 13, "82", f"{row} - 17", "'cont  ' || ks"), ("k % 5 = 0", 14, "31.2", f"{row} - 24", "'W' || ks"),
+        ("k % 31 = 0", 15, "300", f"{row} - 28", "'stray ' || ks"), *((f"k % 29 = 0", 20 + i, str(100 + 200 * i), row, "'WATERMARK'") for i in range(4)),
+    ]
+    shift = "CASE WHEN page % 8 = 2 THEN 6 ELSE 0 END"
+    heads = [("Bank reference", 31.2), ("Customer reference", 129.2), ("TRN type", 227.2), ("Value date", 325.2), ("Credit amount", 423.2), ("Debit amount", 521.2), ("Balance", 619.2), ("Post date", 717.2)]
+    shown = "page % 4 <> 3 AND nation_key <> 13"
+    of_page = [(f"{shown} AND NOT (page % 8 = 5 AND '{t}' = 'Value date')", 30 + i, f"{x} + {shift}", "354", f"'{t}'") for i, (t, x) in enumerate(heads)]
+    of_page += [(f"{shown} AND page % 8 = 5", 40, "325.2", "354", "'Value'"), (f"{shown} AND page % 8 = 5", 41, "345", "354", "'date'")]
+    of_page += [("page % 4 = 1", 45 + i, str(80 + 150 * i), "344", "'CONFIDENTIAL'") for i in range(4)]
+    of_page += [("page = 1 AND nation_key % 4 = 1", 50, "31.2", "348", "'Narrative'"), ("page = 1 AND nation_key % 4 = 1", 51, "82", "348", "'early note'")]
+    of_page += [("true", 9000, "400", "20", f"'Page ' || {_s('page')} || ' of 9'"), ("page = 1 AND nation_key % 3 = 0", 9001, "31", "21", "'05 Mar 2024 Account number 12'"), ("page = 1 AND nation_key % 3 <> 2", 0, "31", "560", "'Statement details'")]
+    block = [
+        ("nation_key % 6 <> 5", "31", "540", "'Account name'"), ("nation_key % 6 <> 5", "140", "540", "'ACME'"), ("nation_key % 6 <> 5", "180.4", "540.3", "'TRADING  ' || " + _s("nation_key")), ("true", "400", "540", "'Current ledger balance'"), ("true", "520", "540", "'1,250.50'"),
+        ("true", "31", "528.4", "'Account number'"), ("true", "140", "528", f"'1234' || {_pad('nation_key', 2)} || '-0001'"), ("true", "31", "516", "'Currency'"), ("nation_key % 4 <> 2", "140", "516", "'EUR'"),
+        ("true", "400", "516", "'From'"), ("true", "520", "516", "CASE WHEN nation_key % 2 = 0 THEN '28 Aug 2026' ELSE 'the start' END"), ("nation_key % 2 = 0", "31", "504", "'IBAN'"), ("nation_key % 2 = 0", "140", "504", f"'GB00' || {_pad('nation_key', 8)}"),
+        ("nation_key % 3 = 1", "31", "492", "'Specified date range'"), ("nation_key % 3 = 1", "140", "492", "'01 Jan 1995 to 31 Dec 1996'"), ("true", "31", "480", "'Account name'"), ("nation_key % 6 <> 4", "140", "480", "'SECOND'"),
+        ("true", "400", "480", "'Current ledger balance'"), ("true", "460", "480", "'-2,000.00'"), ("true", "520", "480", "'about'"), ("nation_key % 2 = 1", "400", "468", "'Current available balance'"), ("nation_key % 2 = 1", "410", "468", "'EUR'"),
+    ]
+    of_page += [(f"page = 1 AND {c}", 2 + i, x, y, t) for i, (c, x, y, t) in enumerate(block)]
+    cell = "SELECT doc_id, page, {seq} AS seq, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST(40 AS DOUBLE) AS width, CAST(8 AS DOUBLE) AS height, {t} AS str FROM {src} WHERE {c}"
+    parts = [cell.format(seq=f"1000 + slot * 100 + {n}", x=x, y=y, t=t, src="{printed_postings}", c=c) for c, n, x, y, t in of_row]
+    parts += [cell.format(seq=n, x=x, y=y, t=t, src="(SELECT DISTINCT doc_id, page, nation_key FROM {printed_postings}) g", c=c) for c, n, x, y, t in of_page]
+    return f"SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, seq) AS BIGINT) AS item_no, x, y, width, height, str FROM ({' UNION ALL '.join(parts)}) items"
+
+
+DOMAIN["statement_items"] = _printed_items()
+DOMAIN["statement_files"] = f"""
+SELECT doc_id, 'ACC-' || {_s('min(nation_key)')} AS account_id, CASE min(nation_key) % 4 WHEN 0 THEN 'bank/UK-HSBC/' || doc_id || '.pdf' WHEN 1 THEN 'bank/misc/hsbc ' || doc_id || '.pdf' ELSE 'bank/misc/' || doc_id || '.pdf' END AS storage_key,
+  CASE min(nation_key) % 6 WHEN 3 THEN 'HSBC-' || doc_id || '.PDF' ELSE doc_id || '.pdf' END AS file_name, max(page) AS page_count, CASE WHEN min(nation_key) = 7 THEN 'Unreadable file' END AS error
+FROM {{printed_postings}} GROUP BY doc_id
+"""
+
+
 def _inputs(name: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", DOMAIN[name])))
 
