@@ -268,8 +268,10 @@ def fit(
     marked = marked.groupBy(F.col(id_col).alias("__id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("__y"))
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)  # bounded, so it may be broadcast
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(chosen), "__id")
-    # an id with very many rows adds rows to the sample, so it is bounded once more
-    sample = materialise(texts.orderBy(F.xxhash64("__id", "__t"), "__id").limit(2 * fit_rows))
+    rows = texts.count()
+    if rows > 2 * fit_rows:  # an id with very many rows: the sample stays bounded
+        texts = texts.where(F.rand(7) < 2 * fit_rows / rows)
+    sample = materialise(texts)
     total = {r["__y"]: r["count"] for r in sample.groupBy("__y").count().collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     lift = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
