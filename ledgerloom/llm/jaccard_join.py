@@ -9,7 +9,8 @@ all subsets of n2 - differ parts are its signatures, and one is shared.
  2. classes that share a signature form a group; groups with the same members count once
  3. in a group, parity sketches give a lower bound of the distance of two sets, which refuses almost all pairs that are
     not linked without losing one; a pair that passes is verified on the whole sets
- 4. first a nearest neighbour for each member is verified; then only pairs that are still in different components
+ 4. first a nearest neighbour for each member is verified; then, in groups that still hold several components, those members
+    that a sketch lets meet another component bring their whole sets, and only edges that join components leave the group
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .rows import CHUNK, text_or_empty, type_of
 
 #: Members compared in one place; a larger group is dealt out as pairs of blocks of half as many.
 BLOCK = 2048
+#: Elements of whole sets in one block; a group with more is dealt out likewise.
+ELEMENTS = 4_000_000
 #: Most rows of a broadcast list of ids; a longer one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Texts that are looked through for frequent shingles, texts of them that a frequent one is in, and the most of these kept.
@@ -325,49 +328,118 @@ def _values(df: DataFrame, members: DataFrame, words: int, id_col: str, text_col
     return made.join(members, ["node", "set"], "left_semi").dropDuplicates(["node", "set"])
 
 
-def _blocks(groups: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(block, node, size, bits): the members of each group with their sketches, large groups as all pairs of smaller blocks."""
-    members = groups.join(sketches, ["set", "band"])
-    large = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
-    n = F.ceil(F.col("m") / (BLOCK // 2)).cast("int")
-    dealt = members.join(large, "group", "left").withColumn("n", F.coalesce(n, F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+def _blocks(members: DataFrame, elements: int | None = None) -> DataFrame:
+    """`members` (group, node, size and more) with a block: their group, or for a large group all pairs of smaller blocks.
+
+    A group is large by its members, and with `elements` also by the sum of their sizes.
+    """
+    parts = F.ceil(F.count(F.lit(1)) / (BLOCK // 2))
+    if elements is not None:
+        parts = F.greatest(parts, F.ceil(F.sum("size") / (elements // 2)))
+    large = members.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("e"), parts.cast("int").alias("n"))
+    large = large.where((F.col("m") > BLOCK) | (F.col("e") > (elements or 1 << 62))).select("group", "n")
+    dealt = members.join(large, "group", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     block = F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other"))
-    return dealt.select(F.when(F.col("n") == 1, F.col("group")).otherwise(block).alias("block"), "node", "size", "bits")
+    return dealt.withColumn("block", F.when(F.col("n") == 1, F.col("group")).otherwise(block)).drop("group", "n", "mine", "other")
+
+
+def _apart(bits: list[bytes]):
+    """i -> how many bits the sketch of member i differs in from each one before it: no more than their sets differ in elements."""
+    rows = np.frombuffer(b"".join(bits), _U).reshape(len(bits), -1)
+    return lambda i: np.bitwise_count(rows[:i] ^ rows[i]).sum(axis=1, dtype=np.int64)
 
 
-def _close_pairs(blocks: DataFrame, scheme: PartEnum, nearest_only: bool, kind: str) -> DataFrame:
-    """(a, b) of a block whose sketches allow a link: for each member its nearest earlier one, or all pairs of different components."""
-    labelled, ids = "component" in blocks.columns, to_arrow_type(blocks.schema["node"].dataType)
+def _numbered(labels: list) -> np.ndarray:
+    return np.unique(np.array(labels, object).astype(str), return_inverse=True)[1]
+
+
+def _nearest(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
+    """(a, b): each member of a block with the nearest earlier one among those that its sketch allows to be linked."""
+    ids = to_arrow_type(blocks.schema["node"].dataType)
 
     def run(batches):
-        names = ["block", "node", "size", "bits"] + ["component"] * labelled
-        for batch in _row_groups(batches, len(names)):
+        for batch in _row_groups(batches, 4):
             a, b = [], []
-            for node, size, bits, *component in batch:
-                if len(node) < 2 or component and len(set(component[0])) < 2:
-                    continue
-                rows, sizes = np.frombuffer(b"".join(bits), _U).reshape(len(node), -1), np.array(size)
-                labels = np.unique(np.array(component[0], object).astype(str), return_inverse=True)[1] if component else None
+            for node, size, bits in batch:
+                sizes, apart_of = np.array(size), _apart(bits)
                 for i in range(1, len(node)):
-                    apart = np.bitwise_count(rows[:i] ^ rows[i]).sum(axis=1, dtype=np.int64)
-                    near = (100 + scheme.percent) * apart <= (100 - scheme.percent) * (sizes[:i] + sizes[i])
-                    if nearest_only:
-                        near = np.flatnonzero(near)
-                        near = near[[int(np.argmin(apart[near]))]] if len(near) else near
-                    else:
-                        near = np.flatnonzero(near & (labels[:i] != labels[i]))
-                    a.extend(node[j] for j in near)
-                    b.extend(node[i] for _ in near)
+                    apart = apart_of(i)
+                    near = np.flatnonzero((100 + scheme.percent) * apart <= (100 - scheme.percent) * (sizes[:i] + sizes[i]))
+                    if len(near):
+                        a.append(node[near[int(np.argmin(apart[near]))]])
+                        b.append(node[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], names=["a", "b"])
 
     ordered = blocks.repartition("block").sortWithinPartitions("block", "node")
-    found = ordered.select("block", "node", "size", "bits", *["component"] * labelled).mapInArrow(run, f"a {kind}, b {kind}")
+    found = ordered.select("block", "node", "size", "bits").mapInArrow(run, f"a {kind}, b {kind}")
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _row_groups(batches, width: int):
+def _undecided(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
+    """(block, node): members of a block that a sketch allows to be linked with a member of another component. At most a row per member."""
+    ids = to_arrow_type(blocks.schema["node"].dataType)
+
+    def run(batches):
+        def found(batch):
+            for block, node, size, bits, component in batch:
+                labels = _numbered(component)
+                if labels.max(initial=0) == 0:
+                    continue
+                sizes, apart_of, named = np.array(size), _apart(bits), np.zeros(len(node), bool)
+                for i in range(1, len(node)):
+                    near = ((100 + scheme.percent) * apart_of(i) <= (100 - scheme.percent) * (sizes[:i] + sizes[i])) & (labels[:i] != labels[i])
+                    named[:i] |= near
+                    named[i] |= near.any()
+                for i in np.flatnonzero(named):
+                    yield block[0], node[i]
+
+        for batch in _row_groups(batches, 5, keep_key=True):
+            rows = list(found(batch))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], ids)], names=["block", "node"])
+
+    ordered = blocks.repartition("block").sortWithinPartitions("block", "node")
+    return ordered.select("block", "node", "size", "bits", "component").mapInArrow(run, f"block bigint, node {kind}")
+
+
+def _joining(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
+    """(a, b): linked members of a block that join its components, fewer than it has; nearest pairs are tried first.
+
+    Pairs that are already joined are passed over, the others verified on the whole sets here, so no pair leaves the task.
+    """
+    ids = to_arrow_type(blocks.schema["node"].dataType)
+
+    def run(batches):
+        for batch in _row_groups(batches, 6):
+            a, b = [], []
+            for node, size, bits, component, values in batch:
+                root, sizes, apart_of = _numbered(component), np.array(size), _apart(bits)
+                sets = [np.frombuffer(v, _U) for v in values]
+                tries = []
+                for i in range(1, len(node)):
+                    apart = apart_of(i)
+                    near = np.flatnonzero(((100 + scheme.percent) * apart <= (100 - scheme.percent) * (sizes[:i] + sizes[i])) & (root[:i] != root[i]))
+                    tries.append(np.stack([apart[near], near, np.full(len(near), i)]))
+                tries = np.concatenate(tries, axis=1) if tries else np.empty((3, 0), np.int64)
+                for at in np.argsort(tries[0], kind="stable"):
+                    j, i = tries[1, at], tries[2, at]
+                    if root[i] == root[j]:
+                        continue
+                    union = len(np.union1d(sets[i], sets[j]))
+                    if scheme.linked(len(sets[i]) + len(sets[j]) - union, len(sets[i]), len(sets[j])):
+                        root[root == root[i]] = root[j]
+                        a.append(node[j])
+                        b.append(node[i])
+            yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], names=["a", "b"])
+
+    ordered = blocks.repartition("block").sortWithinPartitions("block", "node")
+    found = ordered.select("block", "node", "size", "bits", "component", "values").mapInArrow(run, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _row_groups(batches, width: int, keep_key: bool = False):
     """For each batch the whole groups (equal first column) in it, as lists of the other columns; the last one waits for more rows."""
+    first = 0 if keep_key else 1
     held: list[list] = [[] for _ in range(width)]
     for batch in batches:
         for h, column in zip(held, batch.columns):
@@ -375,12 +447,12 @@ def _row_groups(batches, width: int):
         keys, groups, start = held[0], [], 0
         for i in range(1, len(keys)):
             if keys[i] != keys[i - 1]:
-                groups.append([h[start:i] for h in held[1:]])
+                groups.append([h[start:i] for h in held[first:]])
                 start = i
         held = [h[start:] for h in held]
         yield groups
     if held[0]:
-        yield [held[1:]]
+        yield [held[first:]]
 
 
 def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, scheme: PartEnum, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -421,13 +493,16 @@ def jaccard_components(
     groups = materialise(_groups(_signature_rows(df, scheme, words, text_col, common_shingles(df, words, id_col, text_col))))
     sketches = sets.where("n_shingles > 0").dropDuplicates(["digest"]).select("digest", "set", F.col("n_shingles").alias("size"), F.explode("sketches").alias("s"))
     sketches = sketches.join(classes.select("digest", "node"), "digest").select("node", "set", "size", "s.band", "s.bits")
-    blocks = _blocks(groups, sketches)
-
-    check = lambda pairs: _verified(pairs, df, classes, scheme, words, id_col, text_col)
-    first = check(_close_pairs(blocks, scheme, True, kind))
+    members = groups.join(sketches, ["set", "band"]).select("group", "node", "set", "size", "bits")
+    first = _verified(_nearest(_blocks(members.drop("set")), scheme, kind), df, classes, scheme, words, id_col, text_col)
     labels = connected_components(first)
-    labelled = blocks.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = check(_close_pairs(labelled, scheme, False, kind))
+    labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = labelled.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
+    open_blocks = materialise(_blocks(labelled.join(several, "group", "left_semi"), ELEMENTS))
+    meeting = materialise(_undecided(open_blocks, scheme, kind))
+    nodes = materialise(open_blocks.select("node", "set").join(meeting.select("node").distinct(), "node", "left_semi").distinct())
+    whole = _values(df, nodes, words, id_col, text_col).select("node", "values")
+    rest = materialise(_joining(open_blocks.join(meeting, ["block", "node"]).join(whole, "node"), scheme, kind))
     if not rest.isEmpty():
         labels = connected_components(first.union(rest))
 

@@ -58,6 +58,7 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     rows = corpus(4, families=2, size=60)
     monkeypatch.setattr(jj, "BLOCK", 8)
     assert run(spark, rows) == brute(rows, 4, 85)
+    monkeypatch.setattr(jj, "ELEMENTS", 600)
     monkeypatch.setattr(jj, "BROADCAST_ROWS", 0)
     assert run(spark, rows) == brute(rows, 4, 85)
 
@@ -112,3 +113,20 @@ def test_every_document(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in QUERIES["op10_jaccard_join"](spark, sf_dir).collect()) == brute(rows, 4, 85)
     assert QUERIES["op10_jaccard_join"](spark, sf_dir).where(F.col("component_id") > F.col("doc_id")).count() == 0
+
+
+def test_unlinked_near_copies_emit_no_pairs(spark, monkeypatch):
+    """A family of near copies that just miss the threshold, and two chains in it that are linked: rows grow with members, not their square."""
+    rnd, emitted = random.Random(9), []
+    base = [str(rnd.randrange(10**6)) for _ in range(60)]
+    texts = [" ".join(w if rnd.random() > 0.05 else str(rnd.randrange(10**6)) for w in base) for _ in range(900)]
+    rows = list(enumerate(texts))
+    joining, undecided = jj._joining, jj._undecided
+    monkeypatch.setattr(jj, "_joining", lambda *a: emitted.append(joining(*a)) or emitted[-1])
+    monkeypatch.setattr(jj, "_undecided", lambda *a: emitted.append(undecided(*a)) or emitted[-1])
+    monkeypatch.setattr(jj, "BLOCK", 64)
+    got = run(spark, rows)
+    assert got == brute(rows, 4, 85) and 50 < len({r[2] for r in got}) < 900
+    meeting, edges = (e.count() for e in emitted)
+    groups = emitted[0].select("block").distinct().count()
+    assert meeting <= groups * 64 * 2 and edges < 900 * 20
