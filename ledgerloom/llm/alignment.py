@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
+import re
 import uuid
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,39 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from .rows import CHUNK, map_texts, type_of
-from .token_counts import byte_letters
+from .token_counts import byte_letters, late_characters
 
 #: Most id pairs that are sent to every task, as numbers.
 FREQUENT = 1 << 18
+#: A text with so long a run without blanks, or of blanks, goes to the file's own library.
+RUN = 1000
+
+
+def ranked(byte_level_json: bytes, pattern: str | None):
+    """An encoder by ranks with the vocabulary of a byte-level file; None if the file says more than ranks can."""
+    import tiktoken
+
+    spec, letters = json.loads(byte_level_json), byte_letters()
+    vocabulary, splitter = spec["model"].get("vocab", {}), spec.get("pre_tokenizer") or {}
+    plain = spec["model"].get("type") == "BPE" and not spec.get("normalizer") and splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
+    if pattern is None or not plain:
+        return None
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if word not in added}
+    if any(x >= y for x, y in zip(made, made[1:])) or len(ranks) != 256 + len(made) or any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 class Pair:
-    """The two tokenizers with the bytes of every id; the files come as bytes."""
+    """The two tokenizers with the bytes of every id; the files come as bytes.
+
+    With the splitting pattern of the byte-level file, and if its merges stand in the order of their ids, they are ranks and a faster library
+    applies them; texts with characters on which splitting libraries may disagree, or with very long runs, are left to the file's own one.
+    """
 
-    def __init__(self, byte_level_json: bytes, piece_model: bytes):
+    def __init__(self, byte_level_json: bytes, piece_model: bytes, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         import sentencepiece
         from tokenizers import Tokenizer
@@ -39,6 +63,7 @@ class Pair:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        self.ranked, self.is_late, self.long_run = ranked(byte_level_json, pattern), late_characters(), re.compile(rf"\S{{{RUN}}}|\s{{{RUN}}}").search
         letters = byte_letters()
         size = self.a.get_vocab_size(with_added_tokens=True)
         words = [self.a.id_to_token(i) or "" for i in range(size)]
@@ -49,64 +74,78 @@ class Pair:
         for i in range(self.width):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.length_a, self.length_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         self.text_a, self.text_b = [str(i) for i in range(size)], [str(i) for i in range(self.width)]
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids of ` ` + text by the byte-level tokenizer."""
         spaced = [" " + t for t in texts]
-        ids_a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
-        return list(zip(ids_a, self.b.encode(texts, num_threads=1), strict=True))
+        whole = [self.ranked is None or self.is_late(t) or self.long_run(t) is not None for t in spaced]
+        rest = iter(self.a.encode_batch_fast([t for t, w in zip(spaced, whole, strict=True) if w], add_special_tokens=False))
+        return [next(rest).ids if w else self.ranked.encode_ordinary(t) for t, w in zip(spaced, whole, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        return list(zip(self.encode_a(texts), self.b.encode(texts, num_threads=1), strict=True))
 
     def fits(self, text: str, ids_a: list[int], ids_b: list[int]) -> bool:
         raw = b" " + text.encode()
         return bool(text) and b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw and b"".join(map(self.bytes_b.__getitem__, ids_b)) == raw
 
-    def align(self, ids_a: list[int], ids_b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-        """(slices (from, to) of both lists by group, links as pairs of ids); both lists spell the same bytes."""
-        ends_a = list(accumulate(map(len, map(self.bytes_a.__getitem__, ids_a))))
-        ends_b = list(accumulate(map(len, map(self.bytes_b.__getitem__, ids_b))))
+    def align(self, ids_a: list[int], ids_b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of from, to in A and from, to in B for each group, A and B ids of the links); both lists spell the same bytes."""
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = self.length_a[a].cumsum().tolist(), self.length_b[b].cumsum().tolist()
         # of tokens without bytes the last one keeps the offset
-        at_a, at_b = {e: i for i, e in enumerate(ends_a, 1)}, {e: i for i, e in enumerate(ends_b, 1)}
-        groups, links, i, j = [], [], 0, 0
-        for end in sorted(at_a.keys() & at_b.keys()):
-            to_a, to_b = at_a[end], at_b[end]
-            groups.append((i, to_a, j, to_b))
-            if to_a - i == 1 or to_b - j == 1:
-                links += [(a, b) for a in ids_a[i:to_a] for b in ids_b[j:to_b]]
-            else:  # no inner end is shared, so the ranges interlock: on from the token that ends first
-                x, y = i, j
-                while x < to_a and y < to_b:
-                    links.append((ids_a[x], ids_b[y]))
-                    if ends_a[x] < ends_b[y]:
-                        x += 1
-                    else:
-                        y += 1
-            i, j = to_a, to_b
-        return groups, links
-
-    def spelled(self, ids_a: list[int], ids_b: list[int], groups: list[tuple[int, int, int, int]]) -> str:
+        at_a, at_b = dict(zip(ends_a, range(1, len(a) + 1))), dict(zip(ends_b, range(1, len(b) + 1)))
+        shared = sorted(at_a.keys() & at_b.keys())
+        to_a, to_b = (np.fromiter(map(at.__getitem__, shared), np.int64, len(shared)) for at in (at_a, at_b))
+        from_a, from_b = np.r_[0, to_a[:-1]], np.r_[0, to_b[:-1]]
+        alone = (to_a - from_a == 1) & (to_b - from_b == 1)
+        groups, left, right = np.stack([from_a, to_a, from_b, to_b]), [], []
+        for i, j, k, m in groups[:, ~alone].T.tolist():
+            if j - i == 1 or m - k == 1:
+                left += ids_a[i:j] * (m - k)
+                right += ids_b[k:m] * (j - i)
+                continue
+            while i < j and k < m:  # no inner end is shared, so the ranges interlock: on from the token that ends first
+                left.append(ids_a[i])
+                right.append(ids_b[k])
+                if ends_a[i] < ends_b[k]:
+                    i += 1
+                else:
+                    k += 1
+        return groups, np.concatenate([a[from_a[alone]], np.array(left, np.int64)]), np.concatenate([b[from_b[alone]], np.array(right, np.int64)])
+
+    def spelled(self, ids_a: list[int], ids_b: list[int], groups: np.ndarray) -> str:
         """Groups as `a1,a2|b1;a3|b2,b3`."""
-        a, b = [self.text_a[i] for i in ids_a], [self.text_b[i] for i in ids_b]
-        return ";".join([f"{a[i]}|{b[k]}" if j - i == 1 and m - k == 1 else f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in groups])
+        a, b = list(map(self.text_a.__getitem__, ids_a)), list(map(self.text_b.__getitem__, ids_b))
+        out = [f"{a[i]}|{b[k]}" for i, k in zip(groups[0].tolist(), groups[2].tolist(), strict=True)]
+        longer = (groups[1] - groups[0] > 1) | (groups[3] - groups[2] > 1)
+        for at, (i, j, k, m) in zip(np.flatnonzero(longer).tolist(), groups[:, longer].T.tolist(), strict=True):
+            out[at] = f"{','.join(a[i:j])}|{','.join(b[k:m])}"
+        return ";".join(out)
 
 
 @functools.lru_cache(maxsize=2)
-def _pair(byte_level_json: bytes, piece_model: bytes) -> Pair:
-    return Pair(byte_level_json, piece_model)
+def _pair(byte_level_json: bytes, piece_model: bytes, pattern: str | None) -> Pair:
+    return Pair(byte_level_json, piece_model, pattern)
 
 
-def _shared_pair(df: DataFrame, byte_level_path: str, piece_path: str):
+def _shared_pair(df: DataFrame, byte_level_path: str, piece_path: str, pattern: str | None):
     with open(byte_level_path, "rb") as f, open(piece_path, "rb") as g:
-        return df.sparkSession.sparkContext.broadcast((f.read(), g.read()))  # two vocabulary files
+        return df.sparkSession.sparkContext.broadcast((f.read(), g.read(), pattern))  # two vocabulary files
 
 
-def align(df: DataFrame, byte_level_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", spell: bool = True) -> DataFrame:
+def align(
+    df: DataFrame, byte_level_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", spell: bool = True, pattern: str | None = None,
+) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, groups_sha256, groups, pairs, times) of every whole text.
 
     `groups` is the alignment as text (null unless `spell`), `pairs` the different linked id pairs as a * (size of B) + b in ascending
     order, `times` how many links each has. A text that is null, empty or not spelled by both tokenizers has no tokens: zeros, '' and empty
-    lists. Ids may be null or repeat; other columns are not read; an empty table gives an empty result.
+    lists. `pattern` is the splitting pattern of the byte-level file, if it is known. Ids may be null or repeat; other columns are not read; an empty table gives an empty result.
     """
-    shared = _shared_pair(df, byte_level_path, piece_path)
+    shared = _shared_pair(df, byte_level_path, piece_path, pattern)
 
     def work():
         pair = _pair(*shared.value)
@@ -117,11 +156,10 @@ def align(df: DataFrame, byte_level_path: str, piece_path: str, id_col: str = "d
                 if not pair.fits(text, ids_a, ids_b):
                     rows.append((0, 0, 0, 0, "", "", [], []))
                     continue
-                groups, links = pair.align(ids_a, ids_b)
+                groups, link_a, link_b = pair.align(ids_a, ids_b)
                 spelled = pair.spelled(ids_a, ids_b, groups)
-                flat = np.array(links, np.int64).reshape(-1, 2)
-                pairs, times = np.unique(flat[:, 0] * pair.width + flat[:, 1], return_counts=True)
-                rows.append((len(ids_a), len(ids_b), len(groups), len(links), hashlib.sha256(spelled.encode()).hexdigest(), spelled if spell else None, pairs, times.astype(np.int32)))
+                pairs, times = np.unique(link_a * pair.width + link_b, return_counts=True)
+                rows.append((len(ids_a), len(ids_b), groups.shape[1], len(link_a), hashlib.sha256(spelled.encode()).hexdigest(), spelled if spell else None, pairs, times.astype(np.int32)))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
             return [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
 
@@ -168,7 +206,7 @@ def _frequent_sums(rows: DataFrame, key_cols: list[str], frequent) -> DataFrame:
 
 
 def link_counts(
-    df: DataFrame, byte_level_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", frequent_pairs: int = FREQUENT,
+    df: DataFrame, byte_level_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", frequent_pairs: int = FREQUENT, pattern: str | None = None,
 ) -> DataFrame:
     """`align` with n_best (links whose pair no other pair of the A id exceeds) and count_sum (documents of the pair, over links).
 
@@ -177,8 +215,8 @@ def link_counts(
     size. No other pair can make a hot key of the join.
     """
     spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/alignment-{uuid.uuid4().hex}"
-    size_b = _pair(*_shared_pair(df, byte_level_path, piece_path).value).width
-    plain = align(df, byte_level_path, piece_path, id_col, text_col, spell=False).drop("groups")
+    size_b = _pair(*_shared_pair(df, byte_level_path, piece_path, pattern).value).width
+    plain = align(df, byte_level_path, piece_path, id_col, text_col, spell=False, pattern=pattern).drop("groups")
     plain.withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     pair_counts(rows, size_b).write.parquet(f"{folder}/counts")

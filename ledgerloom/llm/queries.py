@@ -146,4 +146,5 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.link_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.link_counts(documents(spark, sf_dir), *files, pattern=public_tokenizers.PATTERN)

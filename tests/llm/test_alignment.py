@@ -74,13 +74,13 @@ def test_whole_table(spark):
     same([tuple(r[n] for n in NAMES) for r in QUERIES["op13_cross_tokenizer_alignment"](spark, SF).collect()], brute(rows))
 
 
-@pytest.mark.parametrize("frequent", [1, 40, 1 << 18])
-def test_odd_texts_and_thresholds(spark, frequent):
+@pytest.mark.parametrize(("frequent", "pattern"), [(1, None), (40, public_tokenizers.PATTERN), (1 << 18, public_tokenizers.PATTERN)])
+def test_odd_texts_and_thresholds(spark, frequent, pattern):
     """Null and repeated ids, equal texts, long texts, clashing columns; all pairs joined, some, none."""
     rows = [(i if i % 7 else None, t) for i, t in enumerate(ODD + ODD[5:12])] + [(3, "the cat")] * 3
     frame = spark.createDataFrame([(i, t, 1, 2, "x", 3) for i, t in rows], "doc_id bigint, text string, n_a int, _row int, pairs string, n int").repartition(3)
-    same([tuple(r[n] for n in NAMES) for r in alignment.link_counts(frame, A, B, frequent_pairs=frequent).collect()], brute(rows))
-    assert alignment.link_counts(frame.where("false"), A, B, frequent_pairs=frequent).collect() == []
+    same([tuple(r[n] for n in NAMES) for r in alignment.link_counts(frame, A, B, frequent_pairs=frequent, pattern=pattern).collect()], brute(rows))
+    assert alignment.link_counts(frame.where("false"), A, B, frequent_pairs=frequent, pattern=pattern).collect() == []
 
 
 def test_groups_are_spelled(spark):
@@ -90,3 +90,15 @@ def test_groups_are_spelled(spark):
     assert sum(len(g[0]) for g in groups) == rows[1]["n_a"] and sum(len(g[1]) for g in groups) == rows[1]["n_b"] and len(groups) == rows[1]["n_groups"]
     assert hashlib.sha256(rows[1]["groups"].encode()).hexdigest() == rows[1]["groups_sha256"] and rows[2]["groups"] == rows[2]["groups_sha256"] == ""
     assert sum(rows[1]["times"]) == rows[1]["n_links"] and frame.where(F.col("doc_id") == 1).count() == 1
+
+
+def test_ranks_give_the_ids_of_the_file():
+    """The encoder by ranks against the file's own library: quotes, runs of blanks, signs, digits, young characters, long runs."""
+    import random
+
+    rnd, parts = random.Random(3), ["'", "''", "'s", "'ll", " ", "  ", "\n", "\t \n", "a", "Word", "é", "١2", "...", "$%", "\u00a0", "\u3000", "日本", "ࡠ", "\U0001f9ff", "_", "don't", "x'REx", "\u0301", "z" * 1200]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 40))) for _ in range(3000)]
+    with open(A, "rb") as f, open(B, "rb") as g:
+        pair = alignment.Pair(f.read(), g.read(), public_tokenizers.PATTERN)
+    assert pair.ranked is not None and alignment.Pair(open(A, "rb").read(), open(B, "rb").read()).ranked is None
+    assert pair.encode_a(texts) == [e.ids for e in pair.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
