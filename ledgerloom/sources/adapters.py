@@ -245,6 +245,16 @@ FROM {{customer}} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SE
 """
 
 
+# The same extracts as the import package meets them: some rows are found by id, some by number and code, some not at all.
+DOMAIN["package_profiles"] = "SELECT vid, 'S' || supplier_number AS supplier_number, supplier_name, tax_organization_type, inactive_date, one_time_supplier, taxpayer_id, tax_registration_number, 'alt ' || vid AS alternate_name, row_number FROM {profile_extract}"
+DOMAIN["package_sites"] = f"""
+SELECT vid, CASE WHEN row_number % 3 = 0 THEN vid || '-' || {_s('1 + row_number % 2')} ELSE sid END AS sid, supplier_name, procurement_bu, address_name, CASE WHEN row_number % 3 = 1 THEN 'site' || {_s('1 + row_number % 2')} ELSE supplier_site END AS supplier_site,
+  inactive_date, email, country_of_origin, invoice_currency, payment_terms, CASE WHEN row_number % 4 = 0 THEN 'no' END AS purchasing, row_number
+FROM {{site_extract}}
+"""
+DOMAIN["package_addresses"] = "SELECT replace(vid, '.0', '') AS vid, address_name, country, address_line_1, city, postal_code, CASE WHEN row_number % 5 = 0 THEN 'mail@x' END AS e_mail, row_number FROM {address_extract}"
+
+
 # Business documents: invoice and agreement text written from orders.
 _NL = "chr(10)"
 DOMAIN["invoice_texts"] = f"""

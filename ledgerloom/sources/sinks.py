@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..operators.import_package import SHEET_NAMES, Package
+
 
 def replace_snapshot(tables: dict[str, DataFrame], root: str) -> None:
     """Overwrite each table of a snapshot."""
@@ -37,3 +40,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     header = ",".join(df.columns)
     csv_lines(df).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/rows")
     spark.createDataFrame([(header,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/header")
+
+
+def save_package(package: Package, root: str, created_at: str, actor: str = "operator", scope: str = "all") -> dict:
+    """Write the sheets, the report of differences and a manifest under ``root/<batch>``; the manifest is returned.
+
+    Rows are counted by the write itself, so the manifest says what was written.
+    """
+    folder, counts = f"{root.rstrip('/')}/{package.batch}", {}
+    for name, df in {**package.sheets, "overlays": package.overlays}.items():
+        seen = Observation(name)
+        write_csv(df.drop("id").observe(seen, F.count(F.lit(1)).alias("rows")), f"{folder}/{SHEET_NAMES[name]}.csv")
+        counts[name] = seen.get["rows"]
+    made = package.counts.first()
+    manifest = {
+        "batchId": package.batch, "createdAt": created_at, "actor": actor.strip() or "operator", "scope": scope, "importAction": package.action,
+        "counts": {**{n: c for n, c in counts.items() if n != "overlays"}, "overlayed": made["overlayed"], "synthesized": made["synthesized"]}, "overlayCount": counts["overlays"],
+        "files": [{"name": f"{SHEET_NAMES[n]}.csv", "rows": c} for n, c in counts.items()],
+    }
+    spark = package.overlays.sparkSession
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest.json")
+    return manifest
