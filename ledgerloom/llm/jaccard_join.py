@@ -376,30 +376,45 @@ def _nearest(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _candidates(scheme: PartEnum, block: int | None, size: list, bits: list[bytes], component: list, at: list | None):
+    """(i, earlier members, their distances): pairs of a block from different components that the sketches allow to be linked.
+
+    With `at` (the blocks in which a member has such pairs) a pair counts only in the first of the blocks that hold it.
+    """
+    labels, sizes = _numbered(component), np.array(size)
+    if labels.max(initial=0) == 0:
+        return
+    apart_of = _apart(bits)
+    before = [frozenset(x for x in mine if x < block) for mine in at] if at else None
+    for i in range(1, len(size)):
+        apart = apart_of(i)
+        near = np.flatnonzero(((100 + scheme.percent) * apart <= (100 - scheme.percent) * (sizes[:i] + sizes[i])) & (labels[:i] != labels[i]))
+        if before is not None and len(near):
+            near = near[[before[i].isdisjoint(before[j]) for j in near]]
+        if len(near):
+            yield i, near, apart[near]
+
+
 def _undecided(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
-    """(block, node): members of a block that a sketch allows to be linked with a member of another component. At most a row per member."""
-    ids = to_arrow_type(blocks.schema["node"].dataType)
+    """(block, node): members of a block that may be linked with a member of another component. At most a row per member.
 
-    def run(batches):
-        def found(batch):
-            for block, node, size, bits, component in batch:
-                labels = _numbered(component)
-                if labels.max(initial=0) == 0:
-                    continue
-                sizes, apart_of, named = np.array(size), _apart(bits), np.zeros(len(node), bool)
-                for i in range(1, len(node)):
-                    near = ((100 + scheme.percent) * apart_of(i) <= (100 - scheme.percent) * (sizes[:i] + sizes[i])) & (labels[:i] != labels[i])
-                    named[:i] |= near
-                    named[i] |= near.any()
-                for i in np.flatnonzero(named):
-                    yield block[0], node[i]
+    With a column `at` only pairs that belong to this block count.
+    """
+    ids, names = to_arrow_type(blocks.schema["node"].dataType), ["block", "node", "size", "bits", "component"] + ["at"] * ("at" in blocks.columns)
 
-        for batch in _row_groups(batches, 5, keep_key=True):
-            rows = list(found(batch))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], ids)], names=["block", "node"])
+    def run(batches):
+        for batch in _row_groups(batches, len(names), keep_key=True):
+            own, found = [], []
+            for block, node, size, bits, component, *at in batch:
+                named = np.zeros(len(node), bool)
+                for i, near, _ in _candidates(scheme, block[0], size, bits, component, at[0] if at else None):
+                    named[near] = named[i] = True
+                own += [block[0]] * int(named.sum())
+                found += [node[i] for i in np.flatnonzero(named)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, ids)], names=["block", "node"])
 
     ordered = blocks.repartition("block").sortWithinPartitions("block", "node")
-    return ordered.select("block", "node", "size", "bits", "component").mapInArrow(run, f"block bigint, node {kind}")
+    return ordered.select(*names).mapInArrow(run, f"block bigint, node {kind}")
 
 
 def _joining(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
@@ -407,22 +422,17 @@ def _joining(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
 
     Pairs that are already joined are passed over, the others verified on the whole sets here, so no pair leaves the task.
     """
-    ids = to_arrow_type(blocks.schema["node"].dataType)
+    ids, names = to_arrow_type(blocks.schema["node"].dataType), ["block", "node", "size", "bits", "component", "at", "values"]
 
     def run(batches):
-        for batch in _row_groups(batches, 6):
+        for batch in _row_groups(batches, len(names), keep_key=True):
             a, b = [], []
-            for node, size, bits, component, values in batch:
-                root, sizes, apart_of = _numbered(component), np.array(size), _apart(bits)
-                sets = [np.frombuffer(v, _U) for v in values]
-                tries = []
-                for i in range(1, len(node)):
-                    apart = apart_of(i)
-                    near = np.flatnonzero(((100 + scheme.percent) * apart <= (100 - scheme.percent) * (sizes[:i] + sizes[i])) & (root[:i] != root[i]))
-                    tries.append(np.stack([apart[near], near, np.full(len(near), i)]))
+            for block, node, size, bits, component, at, values in batch:
+                root, sets = _numbered(component), [np.frombuffer(v, _U) for v in values]
+                tries = [np.stack([apart, near, np.full(len(near), i)]) for i, near, apart in _candidates(scheme, block[0], size, bits, component, at)]
                 tries = np.concatenate(tries, axis=1) if tries else np.empty((3, 0), np.int64)
-                for at in np.argsort(tries[0], kind="stable"):
-                    j, i = tries[1, at], tries[2, at]
+                for n in np.argsort(tries[0], kind="stable"):
+                    j, i = tries[1, n], tries[2, n]
                     if root[i] == root[j]:
                         continue
                     union = len(np.union1d(sets[i], sets[j]))
@@ -433,7 +443,7 @@ def _joining(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], names=["a", "b"])
 
     ordered = blocks.repartition("block").sortWithinPartitions("block", "node")
-    found = ordered.select("block", "node", "size", "bits", "component", "values").mapInArrow(run, f"a {kind}, b {kind}")
+    found = ordered.select(*names).mapInArrow(run, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -500,9 +510,13 @@ def jaccard_components(
     several = labelled.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
     open_blocks = materialise(_blocks(labelled.join(several, "group", "left_semi"), ELEMENTS))
     meeting = materialise(_undecided(open_blocks, scheme, kind))
-    nodes = materialise(open_blocks.select("node", "set").join(meeting.select("node").distinct(), "node", "left_semi").distinct())
+    # two near sets share many groups: each pair is left to the first of them, so a set travels to few blocks
+    places = meeting.groupBy("node").agg(F.sort_array(F.collect_list("block")).alias("at"))
+    closer = materialise(open_blocks.join(meeting, ["block", "node"]).join(places, "node"))
+    own = materialise(_undecided(closer, scheme, kind))
+    nodes = materialise(closer.select("node", "set").join(own.select("node").distinct(), "node", "left_semi").distinct())
     whole = _values(df, nodes, words, id_col, text_col).select("node", "values")
-    rest = materialise(_joining(open_blocks.join(meeting, ["block", "node"]).join(whole, "node"), scheme, kind))
+    rest = materialise(_joining(closer.join(own, ["block", "node"]).join(whole, "node"), scheme, kind))
     if not rest.isEmpty():
         labels = connected_components(first.union(rest))
 
