@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -33,6 +34,8 @@ from .rows import CHUNK, text_or_empty, type_of
 
 #: Members compared in one place; a larger group is dealt out as pairs of blocks of half as many.
 BLOCK = 2048
+#: How many times more bits a fine sketch has.
+FINE = 4
 #: Elements of whole sets in one block; a group with more is dealt out likewise.
 ELEMENTS = 4_000_000
 #: Most rows of a broadcast list of ids; a longer one is joined by shuffle.
@@ -174,9 +177,12 @@ class PartEnum:
                 made.append(signed[filled] if enough else signed.ravel())
         return np.concatenate(made).view(np.int64)
 
-    def sketch(self, values: np.ndarray, band: int) -> bytes:
-        """Parities of the set's elements by hash: two sets' sketches differ in at most as many bits as the sets in elements."""
-        bits = max(256, -(-4 * self.differences(band) // 64) * 64)
+    def sketch(self, values: np.ndarray, band: int, fine: int = 1) -> bytes:
+        """Parities of the set's elements by hash: two sets' sketches differ in at most as many bits as the sets in elements.
+
+        `fine` times as many bits bring the difference of the sketches nearer to that of the sets.
+        """
+        bits = fine * max(256, -(-4 * self.differences(band) // 64) * 64)
         at = ((mix(values + _U(77)) >> _U(32)) * _U(bits)) >> _U(32)
         return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1).tobytes()
 
@@ -310,22 +316,21 @@ def _groups(signed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "`group` bigint, band int, `set` bigint").distinct()
 
 
-def _values(df: DataFrame, members: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, set, values) of the classes in `members` (node, set): their whole sets, as bytes of the hashes."""
+def _values(df: DataFrame, members: DataFrame, words: int, id_col: str, text_col: str, made_of: Callable | None = None, schema: str = "`values` binary") -> DataFrame:
+    """(node, set, values) of the classes in `members` (node, set): their whole sets, as bytes of the hashes, or what `made_of` makes of them."""
     few = members.select("node").distinct()
     if members.count() <= BROADCAST_ROWS:
         few = F.broadcast(few)
     chosen = df.select(F.col(f"`{id_col}`").alias("node"), text_or_empty(text_col).alias("text")).join(few, "node", "left_semi")
+    made_of = made_of or (lambda sets: [pa.array([m.tobytes() for m in sets], pa.binary())])
 
     def run(batches):
         for part, texts in _texts(batches, 1):
             made = [shingles(t, words) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([set_id(digest(m)) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())], names=["node", "set", "values"],
-            )
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(digest(m)) for m in made], pa.int64()), *made_of(made)], names=["node", "set", "values"])
 
-    made = chosen.mapInArrow(run, f"node {type_of(df, id_col)}, `set` bigint, `values` binary")
-    return made.join(members, ["node", "set"], "left_semi").dropDuplicates(["node", "set"])
+    made = chosen.mapInArrow(run, f"node {type_of(df, id_col)}, `set` bigint, {schema}")
+    return made.join(members.select("node", "set").distinct(), ["node", "set"], "left_semi").dropDuplicates(["node", "set"])
 
 
 def _blocks(members: DataFrame, elements: int | None = None) -> DataFrame:
@@ -376,38 +381,29 @@ def _nearest(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _candidates(scheme: PartEnum, block: int | None, size: list, bits: list[bytes], component: list, at: list | None):
-    """(i, earlier members, their distances): pairs of a block from different components that the sketches allow to be linked.
-
-    With `at` (the blocks in which a member has such pairs) a pair counts only in the first of the blocks that hold it.
-    """
+def _candidates(scheme: PartEnum, size: list, bits: list[bytes], component: list):
+    """(i, earlier members, their distances): pairs of a block from different components that the sketches allow to be linked."""
     labels, sizes = _numbered(component), np.array(size)
     if labels.max(initial=0) == 0:
         return
     apart_of = _apart(bits)
-    before = [frozenset(x for x in mine if x < block) for mine in at] if at else None
     for i in range(1, len(size)):
         apart = apart_of(i)
         near = np.flatnonzero(((100 + scheme.percent) * apart <= (100 - scheme.percent) * (sizes[:i] + sizes[i])) & (labels[:i] != labels[i]))
-        if before is not None and len(near):
-            near = near[[before[i].isdisjoint(before[j]) for j in near]]
         if len(near):
             yield i, near, apart[near]
 
 
 def _undecided(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
-    """(block, node): members of a block that may be linked with a member of another component. At most a row per member.
-
-    With a column `at` only pairs that belong to this block count.
-    """
-    ids, names = to_arrow_type(blocks.schema["node"].dataType), ["block", "node", "size", "bits", "component"] + ["at"] * ("at" in blocks.columns)
+    """(block, node): members of a block that may be linked with a member of another component. At most a row per member."""
+    ids, names = to_arrow_type(blocks.schema["node"].dataType), ["block", "node", "size", "bits", "component"]
 
     def run(batches):
         for batch in _row_groups(batches, len(names), keep_key=True):
             own, found = [], []
-            for block, node, size, bits, component, *at in batch:
+            for block, node, size, bits, component in batch:
                 named = np.zeros(len(node), bool)
-                for i, near, _ in _candidates(scheme, block[0], size, bits, component, at[0] if at else None):
+                for i, near, _ in _candidates(scheme, size, bits, component):
                     named[near] = named[i] = True
                 own += [block[0]] * int(named.sum())
                 found += [node[i] for i in np.flatnonzero(named)]
@@ -422,14 +418,14 @@ def _joining(blocks: DataFrame, scheme: PartEnum, kind: str) -> DataFrame:
 
     Pairs that are already joined are passed over, the others verified on the whole sets here, so no pair leaves the task.
     """
-    ids, names = to_arrow_type(blocks.schema["node"].dataType), ["block", "node", "size", "bits", "component", "at", "values"]
+    ids, names = to_arrow_type(blocks.schema["node"].dataType), ["block", "node", "size", "bits", "component", "values"]
 
     def run(batches):
-        for batch in _row_groups(batches, len(names), keep_key=True):
+        for batch in _row_groups(batches, len(names)):
             a, b = [], []
-            for block, node, size, bits, component, at, values in batch:
+            for node, size, bits, component, values in batch:
                 root, sets = _numbered(component), [np.frombuffer(v, _U) for v in values]
-                tries = [np.stack([apart, near, np.full(len(near), i)]) for i, near, apart in _candidates(scheme, block[0], size, bits, component, at)]
+                tries = [np.stack([apart, near, np.full(len(near), i)]) for i, near, apart in _candidates(scheme, size, bits, component)]
                 tries = np.concatenate(tries, axis=1) if tries else np.empty((3, 0), np.int64)
                 for n in np.argsort(tries[0], kind="stable"):
                     j, i = tries[1, n], tries[2, n]
@@ -503,20 +499,22 @@ def jaccard_components(
     groups = materialise(_groups(_signature_rows(df, scheme, words, text_col, common_shingles(df, words, id_col, text_col))))
     sketches = sets.where("n_shingles > 0").dropDuplicates(["digest"]).select("digest", "set", F.col("n_shingles").alias("size"), F.explode("sketches").alias("s"))
     sketches = sketches.join(classes.select("digest", "node"), "digest").select("node", "set", "size", "s.band", "s.bits")
-    members = groups.join(sketches, ["set", "band"]).select("group", "node", "set", "size", "bits")
-    first = _verified(_nearest(_blocks(members.drop("set")), scheme, kind), df, classes, scheme, words, id_col, text_col)
+    members = groups.join(sketches, ["set", "band"]).select("group", "node", "set", "band", "size", "bits")
+    first = _verified(_nearest(_blocks(members.drop("set", "band")), scheme, kind), df, classes, scheme, words, id_col, text_col)
     labels = connected_components(first)
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = labelled.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
     open_blocks = materialise(_blocks(labelled.join(several, "group", "left_semi"), ELEMENTS))
-    meeting = materialise(_undecided(open_blocks, scheme, kind))
-    # two near sets share many groups: each pair is left to the first of them, so a set travels to few blocks
-    places = meeting.groupBy("node").agg(F.sort_array(F.collect_list("block")).alias("at"))
-    closer = materialise(open_blocks.join(meeting, ["block", "node"]).join(places, "node"))
-    own = materialise(_undecided(closer, scheme, kind))
-    nodes = materialise(closer.select("node", "set").join(own.select("node").distinct(), "node", "left_semi").distinct())
-    whole = _values(df, nodes, words, id_col, text_col).select("node", "values")
-    rest = materialise(_joining(closer.join(own, ["block", "node"]).join(whole, "node"), scheme, kind))
+    # finer sketches for those that coarse ones leave, whole sets for those that fine ones leave
+    meeting = open_blocks.drop("bits").join(_undecided(open_blocks, scheme, kind), ["block", "node"])
+    meeting = materialise(meeting)
+    sketched = lambda sets: [pa.array([[{"band": t, "bits": scheme.sketch(m, t, FINE)} for t in scheme.bands(len(m))] for m in sets], _SKETCHES)]
+    fine = _values(df, meeting.select("node", "set"), words, id_col, text_col, sketched, "`values` array<struct<band:int,bits:binary>>")
+    fine = fine.select("node", F.explode("values").alias("s")).select("node", "s.band", "s.bits")
+    closer = materialise(meeting.join(fine, ["node", "band"]))
+    last = materialise(closer.join(_undecided(closer, scheme, kind), ["block", "node"]))
+    whole = _values(df, last.select("node", "set"), words, id_col, text_col).select("node", "values")
+    rest = materialise(_joining(last.join(whole, "node"), scheme, kind))
     if not rest.isEmpty():
         labels = connected_components(first.union(rest))
 
