@@ -166,13 +166,13 @@ def d01(d: Domain):
 
 # Written out from the rules, not from the operator: what a line's fields, hits and verdict say.
 _EXPLAIN = """
-full_lines AS (SELECT r.*, b.description, b.narrative, b.reference, b.counterparty, b.customer_reference, b.bank_reference, b.line_number, CASE WHEN r.flow = 'O2C' THEN 'SO' ELSE 'PO' END AS k,
+full_lines AS MATERIALIZED (SELECT r.*, b.description, b.narrative, b.reference, b.counterparty, b.customer_reference, b.bank_reference, b.line_number, CASE WHEN r.flow = 'O2C' THEN 'SO' ELSE 'PO' END AS k,
     coalesce(nullif(trim(b.narrative), ''), trim(b.description), '') AS told,
     coalesce(nullif(concat_ws(', ', CASE WHEN trim(b.reference) <> '' THEN 'reference' END, CASE WHEN trim(b.description) <> '' THEN 'description' END, CASE WHEN trim(b.narrative) <> '' THEN 'narrative' END,
       CASE WHEN trim(b.customer_reference) <> '' THEN 'customerReference' END, CASE WHEN trim(b.bank_reference) <> '' THEN 'bankReference' END, CASE WHEN trim(b.counterparty) <> '' THEN 'counterparty' END), ''), 'bank text') AS fields
   FROM recon r JOIN bank_transactions b ON b.id = r.transaction_id),
-com_count AS (SELECT 'O2C' AS flow, currency, count(*) AS n FROM sales_orders GROUP BY 2 UNION ALL SELECT 'P2P', currency, count(*) FROM purchase_orders GROUP BY 2),
-rem_count AS (SELECT CASE WHEN party = 'customer' THEN 'O2C' ELSE 'P2P' END AS flow, currency, count(*) AS n FROM remittances GROUP BY 1, 2),
+com_count AS MATERIALIZED (SELECT 'O2C' AS flow, currency, count(*) AS n FROM sales_orders GROUP BY 2 UNION ALL SELECT 'P2P', currency, count(*) FROM purchase_orders GROUP BY 2),
+rem_count AS MATERIALIZED (SELECT CASE WHEN party = 'customer' THEN 'O2C' ELSE 'P2P' END AS flow, currency, count(*) AS n FROM remittances GROUP BY 1, 2),
 told AS (SELECT f.*, CASE WHEN id_n > 0 OR com_n > 0 OR (flow = 'P2P' AND po_n > 0) THEN 'yes' ELSE 'no' END AS com_found, CASE WHEN ref_n > 0 OR rem_n > 0 THEN 'yes' ELSE 'no' END AS rem_found,
     format('{:,.2f}', CAST(amount_diff AS DOUBLE) / 100) || ' ' || currency AS diff FROM full_lines f)"""
 
@@ -201,7 +201,7 @@ def _explained(d: Domain):
 
 
 _SHOWN = """
-listed AS (
+listed AS MATERIALIZED (
   SELECT t.transaction_id, 'com' AS side, 0 AS prio, CAST(strpos(upper(concat_ws(' ', x.reference, x.description, x.narrative, x.customer_reference, x.bank_reference, x.counterparty)), t.tok) AS BIGINT) AS ord, CASE b.flow WHEN 'O2C' THEN 'SO:' ELSE 'PO:' END || b.id AS name FROM line_tokens t JOIN bank_transactions x ON x.id = t.transaction_id JOIN by_id b ON b.flow = t.flow AND upper(b.id) = t.tok AND b.currency = t.currency
   UNION ALL SELECT transaction_id, 'com', 1, source_row, 'PO:' || id FROM po_pairs
   UNION ALL SELECT l.transaction_id, 'com', 2, c.source_row, CASE c.flow WHEN 'O2C' THEN 'SO:' ELSE 'PO:' END || c.id FROM lines l JOIN (SELECT * FROM commercial QUALIFY row_number() OVER (PARTITION BY flow, currency, amount ORDER BY source_row, id) <= 12) c ON c.flow = l.flow AND c.currency = l.currency AND c.amount = l.abs_amount
@@ -212,12 +212,12 @@ listed AS (
 once AS (SELECT transaction_id, side, name, min(struct_pack(p := prio, o := ord)) AS place FROM listed GROUP BY 1, 2, 3),
 firsts AS (SELECT transaction_id, list(name ORDER BY place, name) FILTER (side = 'com') AS com, list(name ORDER BY place, name) FILTER (side = 'rem') AS rem
   FROM (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY transaction_id, side ORDER BY place, name) <= 4) GROUP BY 1),
-picked AS (SELECT r.transaction_id, r.matched_type, r.matched_id, coalesce(com, []) AS com, coalesce(rem, []) AS rem, c.id_n = 1 OR (c.flow = 'P2P' AND c.po_n = 1) OR c.com_n = 1 AS one_com, c.ref_n = 1 OR c.rem_n = 1 OR c.named_n = 1 AS one_rem, c.id_n > 0 OR c.po_n > 0 AS referenced
+picked AS MATERIALIZED (SELECT r.transaction_id, r.matched_type, r.matched_id, coalesce(com, []) AS com, coalesce(rem, []) AS rem, c.id_n = 1 OR (c.flow = 'P2P' AND c.po_n = 1) OR c.com_n = 1 AS one_com, c.ref_n = 1 OR c.rem_n = 1 OR c.named_n = 1 AS one_rem, c.id_n > 0 OR c.po_n > 0 AS referenced
   FROM recon r JOIN context c ON c.transaction_id = r.transaction_id LEFT JOIN firsts f ON f.transaction_id = r.transaction_id),
 combined AS (SELECT transaction_id, CASE WHEN matched_id IS NULL THEN list_concat(CASE WHEN one_rem THEN rem[1:1] ELSE rem END, CASE WHEN one_com THEN com[1:1] ELSE com END)
     WHEN matched_type = 'remittance' THEN list_concat(['remittance:' || matched_id], CASE WHEN one_com THEN com[1:1] WHEN referenced THEN com[1:3] ELSE [] END)
     ELSE list_concat([matched_type || ':' || matched_id], CASE WHEN one_rem THEN rem[1:1] ELSE rem END) END AS names FROM picked),
-positions8 AS (SELECT transaction_id, row_number() OVER (PARTITION BY transaction_id ORDER BY i) AS position, name FROM (SELECT transaction_id, unnest(names) AS name, unnest(range(1, len(names) + 1)) AS i, names FROM combined) WHERE list_position(names, name) = i QUALIFY position <= 8),
+positions8 AS MATERIALIZED (SELECT transaction_id, row_number() OVER (PARTITION BY transaction_id ORDER BY i) AS position, name FROM (SELECT transaction_id, unnest(names) AS name, unnest(range(1, len(names) + 1)) AS i, names FROM combined) WHERE list_position(names, name) = i QUALIFY position <= 8),
 labels AS (SELECT 'SO:' || id AS name, id AS number, 'SO ' || id AS label FROM sales_orders
   UNION ALL SELECT 'PO:' || id, number, 'PO ' || number || CASE WHEN number <> id THEN ' (' || id || ')' ELSE '' END || CASE WHEN invoice_number <> '' AND invoice_number <> number AND invoice_number <> id THEN ' · inv ' || invoice_number ELSE '' END
     FROM (SELECT *, coalesce(list_filter(po_numbers, lambda n: n <> '' AND n <> id)[1], nullif(invoice_number, ''), id) AS number FROM purchase_orders)

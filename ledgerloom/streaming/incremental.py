@@ -64,3 +64,39 @@ def refresh_positions(accounts: DataFrame, transactions: DataFrame, touched: Dat
     theirs = transactions.join(some.select(F.col("id").alias("account_id")), "account_id", "left_semi")
     positions = currency_positions(account_positions(some, theirs))
     positions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("currency").parquet(target)
+
+
+def replay_batch(spark: SparkSession, root: str, accounts: DataFrame, table: str, keys: DataFrame, batch_id: int) -> None:
+    """Statements of the given files, under the batch's own partition, and the positions of the currencies they touch.
+
+    A batch that is run again overwrites its own output. Files that an earlier batch took are passed over.
+    """
+    from ..session import materialise
+    from ..sources import landing
+
+    try:
+        earlier = spark.read.parquet(f"{table}/statements").where(F.col("batch_id") != batch_id).select(F.col("storage_key").alias("key"))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        earlier = keys.where("false")
+    plan = landing.plan_statements(keys, "", accounts, earlier)
+    statements, lines, errors = (materialise(df) for df in landing.ingest_statements(spark, root, plan.where("outcome <> 'skipped'")))
+    for name, df in (("statements", statements), ("bank_transactions", lines), ("ingest_errors", errors)):
+        df.write.mode("overwrite").parquet(f"{table}/{name}/batch_id={batch_id}")
+    stored = spark.read.parquet(f"{table}/bank_transactions").drop("batch_id")
+    if "line_number" not in stored.columns:
+        stored = stored.withColumn("line_number", F.lit(None).cast("bigint"))
+    refresh_positions(accounts, stored, statements.select("account_id"), f"{table}/positions")
+
+
+def ingest_statement_stream(spark: SparkSession, root: str, checkpoint: str, accounts: DataFrame, table: str) -> None:
+    """Bank files ``<account>/<file>.csv`` that have arrived since the last run: lines, errors, and positions of touched currencies."""
+    from ..sources.load_jobs import relative_key
+
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").load(root)
+
+    def batch(found: DataFrame, batch_id: int) -> None:
+        replay_batch(spark, root, accounts, table, found.select(relative_key(root, F.col("path")).alias("key")), batch_id)
+
+    run_available(files.select("path"), checkpoint, batch)
