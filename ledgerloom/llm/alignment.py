@@ -9,6 +9,7 @@ that at most FREQUENT pairs can reach go to every task, the others, each in few
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 import os
@@ -63,7 +64,7 @@ class Pair:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
-        self.ranked, self.is_late, self.long_run = ranked(byte_level_json, pattern), late_characters(), re.compile(rf"\S{{{RUN}}}|\s{{{RUN}}}").search
+        self.ranked, self.is_late, self.blanks = ranked(byte_level_json, pattern), late_characters(), re.compile(rf"\s{{{RUN}}}").search
         letters = byte_letters()
         size = self.a.get_vocab_size(with_added_tokens=True)
         words = [self.a.id_to_token(i) or "" for i in range(size)]
@@ -80,7 +81,7 @@ class Pair:
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         """Ids of ` ` + text by the byte-level tokenizer."""
         spaced = [" " + t for t in texts]
-        whole = [self.ranked is None or self.is_late(t) or self.long_run(t) is not None for t in spaced]
+        whole = [self.ranked is None or self.is_late(t) or max(map(len, t.split()), default=0) >= RUN or self.blanks(t) is not None for t in spaced]
         rest = iter(self.a.encode_batch_fast([t for t, w in zip(spaced, whole, strict=True) if w], add_special_tokens=False))
         return [next(rest).ids if w else self.ranked.encode_ordinary(t) for t, w in zip(spaced, whole, strict=True)]
 
@@ -89,7 +90,8 @@ class Pair:
 
     def fits(self, text: str, ids_a: list[int], ids_b: list[int]) -> bool:
         raw = b" " + text.encode()
-        return bool(text) and b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw and b"".join(map(self.bytes_b.__getitem__, ids_b)) == raw
+        spelled_a = self.ranked is not None or b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw  # ranks spell every text
+        return bool(text) and spelled_a and b"".join(map(self.bytes_b.__getitem__, ids_b)) == raw
 
     def align(self, ids_a: list[int], ids_b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows of from, to in A and from, to in B for each group, A and B ids of the links); both lists spell the same bytes."""
@@ -151,6 +153,13 @@ def align(
         pair = _pair(*shared.value)
 
         def aligned(texts: list[str]) -> list[pa.Array]:
+            gc.disable()  # only lists of numbers are made, which hold no cycles
+            try:
+                return columns(texts)
+            finally:
+                gc.enable()
+
+        def columns(texts: list[str]) -> list[pa.Array]:
             rows = []
             for text, (ids_a, ids_b) in zip(texts, pair.encode(texts), strict=True):
                 if not pair.fits(text, ids_a, ids_b):
