@@ -49,3 +49,20 @@ def test_checking_sql(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows and ids, an empty table; earlier stages leave no files."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = [r["text"] for r in quality_rules.keep_good(docs).orderBy("doc_id").limit(3).collect()]
+    rows = [(None, good[0], None, None, 1), (None, good[0], None, None, 1), (4, good[1], "en", "s", None), (4, good[1], "en", "s", None), (4, good[2], "en", "s", 5), (9, None, None, "s", 0), (10, "", "en", None, 0)]
+    spark.createDataFrame(rows, docs.schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["doc_id"], set()).add(r["bin"] if "bin" in out.columns else 0)
+    assert set(got) <= {None, 4} and 4 in got
+    folder = os.path.dirname(out.inputFiles()[0].removeprefix("file:").removeprefix("//"))
+    assert os.listdir(os.path.dirname(folder)) == [str(len(corpus_pipeline.STAGES) - 1)]
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
