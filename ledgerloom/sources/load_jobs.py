@@ -145,7 +145,7 @@ def load_baseline(
     """
     files = materialise(list_files(spark, root))
     none = files.where("false")
-    plan = landing.plan_statements(files.where(F.col("key").startswith(statement_prefix)), statement_prefix, accounts, none)
+    plan = materialise(landing.plan_statements(files.where(F.col("key").startswith(statement_prefix)), statement_prefix, accounts, none))
     statements, lines, errors = (materialise(df) for df in landing.ingest_statements(spark, root, plan))
     replace_snapshot({"statements": statements, "bank_transactions": lines}, target)
     report, bad, _ = load_reference(spark, root, prefixes, target, files)

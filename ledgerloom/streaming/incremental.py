@@ -80,8 +80,8 @@ def replay_batch(spark: SparkSession, root: str, accounts: DataFrame, table: str
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         earlier = keys.where("false")
-    plan = landing.plan_statements(keys, "", accounts, earlier)
-    statements, lines, errors = (materialise(df) for df in landing.ingest_statements(spark, root, plan.where("outcome <> 'skipped'")))
+    plan = materialise(landing.plan_statements(keys, "", accounts, earlier).where("outcome <> 'skipped'"))
+    statements, lines, errors = (materialise(df) for df in landing.ingest_statements(spark, root, plan))
     for name, df in (("statements", statements), ("bank_transactions", lines), ("ingest_errors", errors)):
         df.write.mode("overwrite").parquet(f"{table}/{name}/batch_id={batch_id}")
     stored = spark.read.parquet(f"{table}/bank_transactions").drop("batch_id")
