@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialise
 from .components import connected_components
-from .rows import CHUNK, text_or_empty, type_of
+from .rows import CHUNK, drop_finished, text_or_empty, type_of
 
 #: Members compared in one place; a larger group is dealt out as pairs of blocks of half as many.
 BLOCK = 2048
@@ -496,15 +496,19 @@ def jaccard_components(
     scheme, kind = PartEnum(percent, parts, differ), type_of(df, id_col)
     sets = materialise(_sets(df, scheme, words, id_col, text_col))
     classes = sets.where("n_shingles > 0 AND doc IS NOT NULL").groupBy("digest", "set").agg(F.min("doc").alias("node"))
+    drop_finished(df.sparkSession)
     groups = materialise(_groups(_signature_rows(df, scheme, words, text_col, common_shingles(df, words, id_col, text_col))))
+    drop_finished(df.sparkSession)
     sketches = sets.where("n_shingles > 0").dropDuplicates(["digest"]).select("digest", "set", F.col("n_shingles").alias("size"), F.explode("sketches").alias("s"))
     sketches = sketches.join(classes.select("digest", "node"), "digest").select("node", "set", "size", "s.band", "s.bits")
     members = groups.join(sketches, ["set", "band"]).select("group", "node", "set", "band", "size", "bits")
     first = _verified(_nearest(_blocks(members.drop("set", "band")), scheme, kind), df, classes, scheme, words, id_col, text_col)
     labels = connected_components(first)
+    drop_finished(df.sparkSession)
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = labelled.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
     open_blocks = materialise(_blocks(labelled.join(several, "group", "left_semi"), ELEMENTS))
+    drop_finished(df.sparkSession)
     # finer sketches for those that coarse ones leave, whole sets for those that fine ones leave
     meeting = open_blocks.drop("bits").join(_undecided(open_blocks, scheme, kind), ["block", "node"])
     meeting = materialise(meeting)
@@ -515,6 +519,7 @@ def jaccard_components(
     last = materialise(closer.join(_undecided(closer, scheme, kind), ["block", "node"]))
     whole = _values(df, last.select("node", "set"), words, id_col, text_col).select("node", "values")
     rest = materialise(_joining(last.join(whole, "node"), scheme, kind))
+    drop_finished(df.sparkSession)
     if not rest.isEmpty():
         labels = connected_components(first.union(rest))
 

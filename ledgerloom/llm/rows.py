@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -66,3 +67,13 @@ def fold_texts(df: DataFrame, cols: Sequence[Column], schema: str, work: Callabl
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files that nothing can read any more.
+
+    It notices them when the driver collects garbage, which a driver with little to do hardly does; until then they fill the executors'
+    disks. Called after results that took a large shuffle are written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
