@@ -283,10 +283,6 @@ def grouped(with_issue_arrays: DataFrame) -> DataFrame:
     return sites.join(issues, "supplier_id", "left").fillna(0, ["unique_issues"])
 
 
-def is_supplier_issue() -> Column:
-    return (F.col("record_type") == "supplier") | F.col("field").isin(*SUPPLIER_FIELDS)
-
-
 # --- lists -----------------------------------------------------------------------
 
 def _haystack(*cols: str) -> Column:

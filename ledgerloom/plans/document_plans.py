@@ -104,7 +104,16 @@ def h45(d: Domain):
     return invoices(d).select("doc_id", "confidence", "status", F.array_join("reasons", "|").alias("reasons"), "needs_confirm", "folder")
 
 
-@add("N04_invoice_lines")
+_ITEM_LINES = rf"""
+cut AS (SELECT m.doc_id, u.i, u.x FROM (SELECT doc_id, lines[head + 1:] AS body FROM (SELECT doc_id, lines, coalesce(list_position([contains(lower(x), 'description') AND regexp_matches(x, '{docs.ITEM_HEADER_COLUMNS}') FOR x IN lines], true), 0) AS head FROM lined)) m,
+  LATERAL (SELECT unnest(range(1, len(body) + 1)) AS i, unnest(body) AS x) u),
+told AS (SELECT doc_id, i, x, NOT regexp_matches(x, '{docs.SKIP}') AS shown, regexp_matches(x, '{docs.SUBTOTAL}') OR regexp_matches(x, '{docs.TOTAL}') OR regexp_matches(x, '{docs.TAX}') AS closing, {_last('x')} AS amount, trim(regexp_replace(x, '{docs.TRAILING_MONEY}', '')) AS description FROM cut),
+marks AS (SELECT *, shown AND closing AS closes, coalesce(shown AND NOT closing AND abs(amount) >= 1 AND NOT regexp_matches(x, '{docs.NOT_ITEMS}') AND length(description) >= 3, false) AS item FROM told),
+starts AS (SELECT doc_id, min(i) FILTER (item) AS first_item FROM marks GROUP BY 1),
+ends AS (SELECT m.doc_id, min(i) AS stop FROM marks m JOIN starts s ON s.doc_id = m.doc_id WHERE closes AND i > first_item GROUP BY 1)"""
+
+
+@add("N04_invoice_lines", "SELECT m.doc_id, row_number() OVER (PARTITION BY m.doc_id ORDER BY i) AS line_number, description, amount AS line_total FROM marks m LEFT JOIN ends e ON e.doc_id = m.doc_id WHERE item AND i < coalesce(stop, 1000000)", TEXTS, INVOICE_CTES + "," + _ITEM_LINES)
 def n04(d: Domain):
     return invoices(d).select("doc_id", F.explode_outer("line_items").alias("i")).filter("i is not null").select("doc_id", "i.*")
 

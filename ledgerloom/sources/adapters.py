@@ -264,7 +264,7 @@ SELECT k AS doc_id, 'inv-' || ks || '.txt' AS file_name,
   || CASE WHEN k % 3 = 0 THEN 'Due Date: ' || {_s('d + 30')} || {_NL} ELSE '' END || CASE WHEN k % 5 = 0 THEN 'Payment Terms: Net 30' || {_NL} ELSE '' END
   || CASE WHEN k % 7 = 0 THEN 'Supplier Name: Acme ' || {_s('k % 50')} || {_NL} ELSE '' END || 'VAT Number: GB' || {_pad('k', 9)} || {_NL}
   || CASE WHEN k % 8 = 0 THEN 'BIC: BARCGB22XXX' || {_NL} || 'BSB: 062-000' || {_NL} ELSE '' END || CASE WHEN k % 2 = 0 THEN 'Description   Qty  Amount' || {_NL} ELSE '' END
-  || 'Consulting block A  ' || CAST(cents / 400.0 AS DECIMAL(18, 2)) || {_NL} || 'Delivery ' || {_s('k % 9')} || '  1,200.50' || {_NL} || 'Page 1' || {_NL}
+  || 'Consulting block A  ' || CAST(CAST(floor(cents / 4) AS BIGINT) / 100.0 AS DECIMAL(18, 2)) || {_NL} || 'Delivery ' || {_s('k % 9')} || '  1,200.50' || {_NL} || 'Page 1' || {_NL}
   || 'Subtotal ' || CAST(cents / 100.0 AS DECIMAL(18, 2)) || {_NL} || CASE WHEN k % 3 = 1 THEN 'VAT @ 20 (17.95) CR' ELSE 'GST 20.00' END || {_NL}
   || CASE WHEN k % 9 = 0 THEN 'thanks' ELSE 'Total Amount (' || currency || ') ' || CAST(cents / 100.0 AS DECIMAL(18, 2)) END || {_NL} AS text, d, cents
 FROM {{order_facts}}

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.money import strip
 from . import csv_records as csv
 
 # Name patterns per file role, in order of preference.
@@ -100,11 +99,6 @@ def landing_listing(landing: DataFrame, known: DataFrame) -> DataFrame:
     return landing.join(docs, "key", "left").select("key", "doc_id", F.col("doc_id").isNotNull().alias("processed"))
 
 
-def safe_name(name: Column | str) -> Column:
-    c = F.col(name) if isinstance(name, str) else name
-    return F.regexp_replace(strip(F.element_at(F.split(c, "/"), -1)), r"[^A-Za-z0-9._-]+", "_")
-
-
 def without_samples(sample: DataFrame, real: DataFrame, gate: DataFrame) -> DataFrame:
     """Samples count only while ``gate`` (``has_real``, reduced to one row) says there is nothing real."""
     gate = gate.agg(F.coalesce(F.bool_or("has_real"), F.lit(False)).alias("has_real"))
