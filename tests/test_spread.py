@@ -21,6 +21,13 @@ def _tables(spark, path, orders=400):
     return Domain(spark, str(path))
 
 
+def test_facts_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    d, tasks = _tables(spark, tmp_path), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.read.parquet(f"{tmp_path}/orders.parquet").rdd.getNumPartitions() == 1
+    for name in ("order_facts", "purchase_facts"):
+        assert d[name].rdd.getNumPartitions() == tasks > 1
+
+
 def test_printed_items_are_those_of_their_select(spark, tmp_path):
     d = _tables(spark, tmp_path)
     wanted = spark.sql(adapters.DOMAIN["statement_items"], printed_postings=d.printed_postings)
