@@ -172,7 +172,7 @@ def t01(d: Domain):
 
 @add("S03_picked_files", "SELECT 'ap_header' AS role, max(key) AS key FROM (SELECT 'INV/inv_header_' || ks || '.csv' AS key FROM order_facts)", ("order_facts",))
 def s03(d: Domain):
-    return landing.pick_files(d.order_facts.selectExpr("'INV/inv_header_' || ks || '.csv' AS key"))
+    return landing.pick_files(d.once("order_facts").selectExpr("'INV/inv_header_' || ks || '.csv' AS key"))
 
 
 @add("S04_statement_plan", """SELECT key, 'OCI-' || sha1(key) AS statement_id, CASE WHEN k % 5 = 0 THEN 'skipped' WHEN k % 7 = 0 THEN 'error' ELSE 'take' END AS outcome FROM f""", ("order_facts",),

@@ -29,10 +29,10 @@ def pick_files(files: DataFrame, roles: dict[str, tuple[str, ...]] = ROLE_PATTER
     ``files``: ``key``, listed in key order.
     """
     name = F.lower(F.element_at(F.split("key", "/"), -1))
-    hits = [F.when(name.rlike(p), F.struct(F.lit(role).alias("role"), F.lit(i).alias("priority"))) for role, ps in roles.items() for i, p in enumerate(ps)]
-    listed = files.select("key", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("key", "h.*")
-    best = listed.groupBy("role").agg(F.min("priority").alias("priority"))
-    return listed.join(best, ["role", "priority"]).groupBy("role").agg(F.max("key").alias("key"))
+    last = [F.max(F.when(name.rlike(p), F.col("key"))).alias(f"_{r}_{i}") for r, ps in enumerate(roles.values()) for i, p in enumerate(ps)]
+    # one row per task, no groups: names are neither sorted nor dealt by role
+    found = [F.struct(F.lit(role).alias("role"), F.coalesce(*[F.col(f"_{r}_{i}") for i in range(len(ps))]).alias("key")) for r, (role, ps) in enumerate(roles.items()) if ps]
+    return files.agg(*last).select(F.explode(F.array(*found)).alias("f")).select("f.*").filter("key is not null")
 
 
 def statement_id(key: Column) -> Column:

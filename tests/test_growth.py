@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_spread import _tables
 
 from ledgerloom.operators import cash, matching
-from ledgerloom.sources import adapters
+from ledgerloom.sources import adapters, landing
 
 FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
@@ -84,3 +84,10 @@ def test_sums_of_accounts_need_no_sort(spark):
     got = {r.account_id: (r.opening_balance, r.inflows, r.outflows, r.closing_balance, r.transaction_count, r.reported_closing_balance) for r in out.collect()}
     assert got == {"A": (15, 9, 3, 21, 3, 20), "B": (2, 7, 0, 9, 1, None), "C": (3, 0, 0, 3, 0, None)}
     assert not [x for x in _planned(out).splitlines() if "SortAggregate" in x and "sum(" in x]
+
+
+def test_files_are_picked_without_dealing_them_by_role(spark):
+    keys = ["INV/inv_header_1.csv", "INV/inv_header_2.csv", "INV/Invoice_Header_9.csv", "x/REMITTANCE.csv", "x/none.csv", None]
+    picked = landing.pick_files(spark.createDataFrame([(k,) for k in keys], "key string"))
+    assert {tuple(r) for r in picked.collect()} == {("ap_header", "INV/inv_header_2.csv"), ("remittance", "x/REMITTANCE.csv")}
+    assert "Join" not in _optimised(picked) and "keys=[role" not in _planned(picked)
