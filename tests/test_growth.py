@@ -101,3 +101,35 @@ def test_an_amount_is_worked_out_once_for_both_keys(spark):
     assert {tuple(r) for r in sums.collect()} == {("1", 1050 + 2 * 200050), ("H1", 1050)}
     plan = _optimised(sums)
     assert "Generate" in plan and not re.search(r"RLIKE", plan.split("Generate")[0])
+
+
+def test_documents_on_no_line_are_left_before_the_shuffle(spark):
+    docs = spark.createDataFrame([("P2P", "PO", "EUR", 10, (i, f"D{i}", 10, "PO"), [f"D{i}", f"R{i}"], "n") for i in range(300)], DOC)
+    lines = spark.createDataFrame([(f"t{i}", "P2P", "EUR", 10, [f"R{i}", "X"]) for i in range(20)], LINE)
+    live = matching._live(docs, lines)
+    assert {r.ref for r in live.collect()} == {f"R{i}" for i in range(20)}
+    assert _hits(lines, docs, 32) == {f"t{i}": (0, 1, 1, 0) for i in range(20)}
+
+
+def test_a_full_bitmap_loses_no_reference(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MENTION_BITMAPS", 1)
+    monkeypatch.setattr(matching, "BITMAP_BITS", 8)
+    docs = spark.createDataFrame([("P2P", "PO", "EUR", 10, (i, f"D{i}", 10, "PO"), [f"R{i}"], "n") for i in range(60)], DOC)
+    lines = spark.createDataFrame([(f"t{i}", "P2P", "EUR", 10, [f"R{i}", f"D{i}"]) for i in range(40)], LINE)
+    assert _hits(lines, docs, 32) == {f"t{i}": (1, 1, 1, 0) for i in range(40)}
+
+
+def test_crowded_classes_go_to_every_task(spark):
+    rows = [("O2C", "EUR", 10, f"NAME {i}", 1, (i, f"A{i}", 10, "remittance")) for i in range(5)] + [("O2C", "EUR", 20, "OTHER", 1, (9, "A9", 20, "remittance"))]
+    names = spark.createDataFrame(rows, "flow string, currency string, abs_amount bigint, norm_name string, n bigint, doc struct<ordinal bigint, id string, amount bigint, kind string>")
+    found = matching.crowded_classes(names, 3)
+    assert [tuple(r) for r in found.collect()] == [("O2C", "EUR", 10)]
+    assert "broadcast" in _optimised(names.join(found, list(matching.AMOUNT_CLASS), "left_semi"))
+
+
+def test_short_rows_are_dealt(spark, tmp_path):
+    domain = _tables(spark, tmp_path)
+    for name, dealt in (("order_facts", "o_totalprice"), ("purchase_facts", "line_cents")):
+        plan = _optimised(domain._derived(name))
+        below = plan[plan.index("RepartitionByExpression"):]
+        assert dealt in below and "party_name" not in below and "party_name" in plan
