@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_spread import _tables
 
+from ledgerloom.functions import names as party_names
+from ledgerloom.functions import text
 from ledgerloom.functions.names import names_loosely_match
 from ledgerloom.operators import anomalies, matching
 from ledgerloom.plans import cash_plans
@@ -83,3 +85,48 @@ def test_equal_texts_of_a_crowded_class_are_compared_once(spark):
     want = {r.t: 2 * r["count"] for r in pairs.collect()}
     assert got == {f"t{i}": want[texts[i % 5]] for i in range(60) if texts[i % 5] in want} and len(want) >= 3
     assert matching.crowded_name_hits(lines, names).count() == len(got)
+
+
+def test_tokens_and_names_are_those_of_the_rules(spark):
+    rows = [("Inv 12345 so-7\tPO-8 x", [" a b", None, "A B", "A\nB", "ß"], "The  Acme-Mills LTD. plc"), (None, [], None), ("INV/123456789012 é99999 AB 55555", ["AB", "AB"], " Ltd A_b  hospitals\tC")]
+    df = spark.createDataFrame(rows, "hay string, keys array<string>, name string")
+    clean = lambda c: F.upper(F.regexp_replace(c, r"\s+", ""))
+    found = F.concat(F.regexp_extract_all("hay", F.lit(text.SO_PO_TOKEN)), F.regexp_extract_all("hay", F.lit(text.INVOICE_TOKEN)))
+    got = df.select(text.match_tokens("hay").alias("t"), F.array_distinct(text.norm_keys(F.array_compact("keys"))).alias("k"), party_names.normalise_party("name").alias("n"))
+    assert [tuple(r) for r in got.select("k", "n").collect()] == [(["AB", "SS"], "ACME MILLS"), ([], ""), (["AB"], "A B C")]
+    wanted = df.select(F.coalesce(F.array_distinct(F.transform(found, clean)), F.array().cast("array<string>")).alias("t")).collect()
+    assert [r.t for r in got.collect()] == [r.t for r in wanted] and wanted[0].t == ["SO-7", "PO-8", "INV12345"]
+
+
+def test_texts_are_worked_out_for_lines_of_crowded_classes_alone(spark):
+    names_of = spark.createDataFrame([("O2C", "EUR", 5, f"NAME {i} LONGWORD", 1, (i, f"R{i}", 5, "remittance")) for i in range(20)],
+        "flow string, currency string, abs_amount bigint, norm_name string, n bigint, doc struct<ordinal bigint, id string, amount bigint, kind string>")
+    cells = {c: "x" for c in ("account_id", "date", "description", "reference", "narrative", "customer_reference", "bank_reference")}
+    t = spark.range(4).selectExpr("CAST(id AS STRING) AS id", "CAST(5 - 10 * (id % 2) AS BIGINT) AS amount", "'EUR' AS currency", "'Name 1 longword' AS counterparty", *(f"'{v}' AS {c}" for c, v in cells.items()))
+    crowded = matching.crowded_classes(names_of)
+    hits = matching.crowded_name_hits(matching.bank_lines(matching.of_classes(t, crowded)), names_of, crowded=crowded)
+    assert {r.transaction_id for r in hits.collect()} == {"0", "2"}
+    below = hits._jdf.queryExecution().optimizedPlan().toString()
+    # no text is tested before the lines of other classes are gone
+    assert not any("Filter" in x and "regexp_replace" in x for x in below.splitlines())
+
+
+def test_marks_of_ids_and_references_come_from_one_pass(spark):
+    docs, lines = _docs_and_lines(spark)
+    live = matching._live(docs.withColumn("name", F.lit("n")), lines)
+    repeated, hot = matching._marks(live, 4)
+    assert repeated.count() == 0 and hot.count() == 6
+
+
+def test_results_read_once_are_not_kept(spark, tmp_path):
+    own = _tables(spark, tmp_path)
+    for name in ("A20_status_shares", "D01_reconcile", "J08_consumed_by_key"):
+        cash_plans.CATALOG.queries[name](spark, own.sf_dir)
+    kept = adapters.Domain.shared(spark, own.sf_dir)._seen
+    assert "reconciliation" not in kept and "bank_transactions" not in kept
+
+
+def test_names_are_looked_up_without_references(spark, tmp_path):
+    own = _tables(spark, tmp_path)
+    plan = cash_plans.CATALOG.queries["J05_remittance_name_hits"](spark, own.sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
