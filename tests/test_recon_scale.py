@@ -130,3 +130,27 @@ def test_names_are_looked_up_without_references(spark, tmp_path):
     own = _tables(spark, tmp_path)
     plan = cash_plans.CATALOG.queries["J05_remittance_name_hits"](spark, own.sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def _bank(spark, rows):
+    return spark.createDataFrame(rows, "id string, account_id string, date string, amount bigint, currency string, counterparty string, reference string, balance_after bigint, line_number bigint")
+
+
+def test_anomalies_deal_only_the_lines_they_may_show(spark):
+    many = [(f"n{i}", "A", "2024-01-01", 100 + i, "EUR", f"P{i}", None, None, 1) for i in range(40)]
+    odd = [("a", "A", "2024-01-01", 7, "EUR", "Acme", "r", None, 1), ("b", "A", "2024-01-04", 7, "EUR", "ACME", None, None, 1), ("c", "A", "2024-01-09", 7, "EUR", None, "acme", None, 1),
+        ("d", "A", "2024-01-01", None, "EUR", "x", None, None, 1), ("e", "A", "2024-01-01", None, "EUR", "x", None, None, 1), (None, "A", "2024-01-01", 105, "EUR", "y", None, None, 1),
+        ("big", "A", "2024-01-01", 9_000_000, "EUR", "Z", None, None, 1), ("out", "A", "2024-01-01", 3_000_000, "EUR", "Z", None, None, 1)]
+    lines = _bank(spark, many + odd)
+    dups = anomalies.duplicates(lines)
+    assert [r.id for r in dups.collect()] == ["AN-DUP-b"]
+    results = spark.createDataFrame(
+        [("big", "2024-01-01", 9_000_000, "EUR", "O2C", "unmatched", None, 0), ("n1", "2024-01-01", 101, "EUR", "O2C", "partial", "SO-1", 5), ("n2", "2024-01-01", 102, "EUR", "O2C", "matched", "SO-2", 0), (None, "2024-01-01", 1, "EUR", "O2C", "partial", "SO-3", 4)],
+        "transaction_id string, date string, amount bigint, currency string, flow string, status string, matched_id string, amount_diff bigint")
+    accounts = spark.createDataFrame([("A", "a", "EUR", 0)], "id string, name string, currency string, opening_balance bigint")
+    found = {(r.type, r.related_ids[0]): r.description for r in anomalies.detect(accounts, lines, results).collect()}
+    assert set(found) == {("duplicate", "a"), ("unmatched_large", "big"), ("amount_mismatch", "n1"), ("amount_mismatch", None), ("outlier", "out")}
+    assert found["amount_mismatch", "n1"].endswith("(P1).") and "(Z)" in found["unmatched_large", "big"]
+    # one table of results, and no join of lines that was not cut to candidates before
+    plan = anomalies.of_results(results, lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 4 and "LeftSemi" in plan and "LeftSemi" in dups._jdf.queryExecution().optimizedPlan().toString()
