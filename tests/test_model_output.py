@@ -83,3 +83,16 @@ def test_agreements(spark):
     a = out[0]
     assert (a.mode, a.agreement_id, a.agreement_type, a.entity, a.start_date, a.auto_renew, a.perpetual, a.synopsis) == ("llm", None, a.agreement_type, "Acme Ltd", "2020-01-01", None, True, "A secrecy agreement without an end.")
     assert out[1].mode == "static-fallback" and "header.autoRenew must be a boolean" in out[1].classifier_warning
+
+
+def test_readers_ask_for_a_type_once(spark):
+    from ledgerloom.functions import json_values as js
+
+    v, name = F.parse_json(F.lit("1.5")), F.lit("x")
+    for read, most in ((js.money_of, 1), (js.number_of, 1), (js.boolean_of, 1), (js.integer_of, 2)):  # a number that is no integer is looked at again
+        assert str(read(v, name)).count("schema_of_variant") <= most
+    said = ["7", "1.5", "\"£1,200.50\"", "\"\"", "null", "\"x\"", "true", "[1]", None]
+    read = lambda f: [(r.r.value, r.r.error) for r in spark.createDataFrame([(t,) for t in said], "t string").select(f(F.parse_json("t"), name).alias("r")).collect()]
+    bad = (None, "x must be a number")
+    assert read(js.money_of) == [(7, None), (150, None), (120050, None), (None, None), (None, None), bad, bad, bad, (None, None)]
+    assert read(js.integer_of) == [(7, None), (None, "x must be an integer"), bad, (None, None), (None, None), bad, bad, bad, (None, None)]
